@@ -51,7 +51,7 @@ def bitmap(keys: DataFrame, key: str, bits: int = 1 << 22) -> DataFrame:
     s = slot(F.col(key), bits)
     return (
         keys.where(F.col(key).isNotNull())
-        .select((s / BITS_PER_WORD).cast("long").alias("_word"), F.shiftleft(F.lit(1).cast("long"), (s % BITS_PER_WORD).cast("int")).alias("_mask"))
+        .select((s / BITS_PER_WORD).cast("long").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (s % BITS_PER_WORD).cast("int")).alias("_mask"))
         .groupBy("_word")
         .agg(F.bit_or("_mask").alias("_mask"))
     )
@@ -67,7 +67,7 @@ def maybe_in(df: DataFrame, key: Column, marks: DataFrame, bits: int = 1 << 22)
         df.withColumn("_word", (s / BITS_PER_WORD).cast("long"))
         .withColumn("_bit", (s % BITS_PER_WORD).cast("int"))
         .join(F.broadcast(marks), "_word")
-        .where(F.shiftright("_mask", F.col("_bit")).bitwiseAND(F.lit(1)) == 1)
+        .where(F.call_function("shiftright", F.col("_mask"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1)
         .drop("_word", "_bit", "_mask")
     )
 

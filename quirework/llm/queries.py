@@ -7,6 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from quirework.llm.truncation import truncated
+
+    return truncated(spark.read.parquet(f"{d}/chunks.parquet"), "row_id", "feed", ["content", "caption"]).select("row_id", "field").distinct()
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    from quirework.llm.truncation import truncation_rates
+
+    return truncation_rates(spark.read.parquet(f"{d}/chunks.parquet"), "row_id", "feed", ["content", "caption"])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.split import oversized
 
@@ -31,7 +43,7 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_pieces, p7_found, p7_clean)}
 
 SQL: dict[str, str] = {
     "p3_found": r"""
