@@ -19,6 +19,20 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(spark.read.parquet(f"{d}/chunks.parquet"), "row_id", "feed", ["content", "caption"])
 
 
+def _scans(spark: SparkSession, d: str):
+    from quirework.llm.scans import Scans
+
+    return Scans(spark.read.parquet(f"{d}/chunks.parquet"), "row_id", ["content", "caption"], title="title")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).found()
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).repaired()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.split import oversized
 
@@ -43,7 +57,7 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_pieces, p7_found, p7_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_repaired, p3_found, p3_pieces, p7_found, p7_clean)}
 
 SQL: dict[str, str] = {
     "p3_found": r"""
