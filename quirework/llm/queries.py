@@ -45,6 +45,20 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(spark.read.parquet(f"{d}/chunks.parquet"), "row_id", "content").drop("text_hash")
 
 
+def _versions(spark: SparkSession, d: str):
+    from quirework.llm.versions import Versions
+
+    return Versions(spark.read.parquet(f"{d}/chunks.parquet"), "chunk_id", "title", "content", threshold=0.6, run=3, least_words=40)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _versions(spark, d).pairs().withColumnsRenamed({"key_a": "chunk_id_a", "key_b": "chunk_id_b"})
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _versions(spark, d).classes()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.contamination import leaks
 
@@ -57,7 +71,7 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_repaired, p3_found, p3_pieces, p7_found, p7_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_repaired, p3_found, p3_pieces, p5_found, p5_groups, p7_found, p7_clean)}
 
 SQL: dict[str, str] = {
     "p3_found": r"""
