@@ -59,6 +59,18 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return _versions(spark, d).classes()
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    from quirework.llm.packing import packed
+
+    return packed(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+
+
+def p6_bucket_batches(spark: SparkSession, d: str) -> DataFrame:
+    from quirework.llm.packing import bucket_batches
+
+    return bucket_batches(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.contamination import leaks
 
@@ -71,7 +83,19 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_repaired, p3_found, p3_pieces, p5_found, p5_groups, p7_found, p7_clean)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from quirework.llm.stuffing import stuffed
+
+    return stuffed(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").select("doc_id").distinct()
+
+
+def p8_profiles(spark: SparkSession, d: str) -> DataFrame:
+    from quirework.llm.stuffing import page_profiles
+
+    return page_profiles(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_repaired, p3_found, p3_pieces, p5_found, p5_groups, p6_containers, p6_bucket_batches, p7_found, p7_clean, p8_found, p8_profiles)}
 
 SQL: dict[str, str] = {
     "p3_found": r"""
