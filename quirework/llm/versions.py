@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirework.llm.common import bitmap, flat_words, maybe_in, mix, runs_hash, word_hashes, written
+from quirework.llm.common import WORD, bitmap, flat_words, maybe_in, mix, runs_hash, word_hashes, written
 
 
 def token_sets(texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,18 +83,17 @@ def _sign(batches: Iterator[pa.RecordBatch], least_words: int, run: int, each: i
             yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in part], pa.int64()), lists(keys.view(np.int64)), lists(np.ascontiguousarray(sketch))], ["text_id", "keys", "sketch"])
 
 
-def _sets(batches: Iterator[pd.DataFrame], run: int) -> Iterator[pd.DataFrame]:
-    for d in batches:
-        tokens, counts = token_sets([f"{t} {c}" for t, c in zip(d["title"], d["content"])], run)
-        parts = np.split(tokens, np.cumsum(counts)[:-1])
-        yield pd.DataFrame({"text_id": d["text_id"], "tokens": [np.unique(x).view(np.int64) for x in parts]})
-
-
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verify(batches: Iterator[pd.DataFrame], run: int) -> Iterator[pd.DataFrame]:
     for d in batches:
+        known: dict[int, frozenset] = {}
         sims = []
-        for a, b in zip(d["tokens_a"], d["tokens_b"]):
-            both = len(np.intersect1d(a, b, assume_unique=True))
+        for pair in zip(d["text_a"], d["text_b"], d["record_a"], d["record_b"]):
+            for i, record in zip(pair[:2], pair[2:]):
+                if i not in known:
+                    w = WORD.findall(record.lower())
+                    known[i] = frozenset(zip(*(w[k:] for k in range(run))))
+            a, b = known[pair[0]], known[pair[1]]
+            both = len(a & b)
             sims.append(both / (len(a) + len(b) - both))
         yield pd.DataFrame({"text_a": d["text_a"], "text_b": d["text_b"], "similarity": np.array(sims, float)})
 
@@ -132,29 +131,34 @@ class Versions:
         pairs = written(pairs.where(apart <= differ).select("text_a", "text_b"), "candidates")
 
         # verification on whole texts, of the candidates only
-        ids = pairs.select(F.col("text_a").alias("text_id")).unionByName(pairs.select(F.col("text_b").alias("text_id"))).distinct()
-        texts = maybe_in(rows.select("text_id", "title", "content"), F.col("text_id"), bitmap(ids, "text_id")).join(ids, "text_id", "left_semi").dropDuplicates(["text_id"])
-        sets = texts.mapInPandas(lambda it: _sets(it, run), "text_id bigint, tokens array<bigint>")
+        ids = pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_id")).distinct()
+        texts = maybe_in(rows.select("text_id", F.concat_ws(" ", "title", "content").alias("record")), F.col("text_id"), bitmap(ids, "text_id"))
+        texts = texts.join(ids, "text_id", "left_semi").dropDuplicates(["text_id"])
         for x in "ab":
-            pairs = pairs.join(sets.select(F.col("text_id").alias(f"text_{x}"), F.col("tokens").alias(f"tokens_{x}")), f"text_{x}")
+            pairs = pairs.join(texts.select(F.col("text_id").alias(f"text_{x}"), F.col("record").alias(f"record_{x}")), f"text_{x}")
         #: text_a < text_b, similarity: one row for each pair of different texts at least as similar as the threshold.
-        self.links = written(pairs.mapInPandas(_verify, "text_a bigint, text_b bigint, similarity double").where(F.col("similarity") >= threshold), "links")
-        words = F.size(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}]+)"))) if least_words > 1 else F.lit(1)
-        #: text_id, key: the rows of each text that takes part.
-        self.members = rows.where(words >= least_words).select("text_id", F.col("_key").alias(key))
+        self.links = written(pairs.mapInPandas(lambda it: _verify(it, run), "text_a bigint, text_b bigint, similarity double").where(F.col("similarity") >= threshold), "links")
+        self._enough = F.size(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}]+)"))) >= least_words
+        self._rows = rows.withColumnRenamed("_key", key)
 
-    def linked_members(self) -> DataFrame:
-        """members of the texts that have a link."""
-        ids = self.links.select(F.explode(F.array("text_a", "text_b")).alias("text_id")).distinct()
-        return self.members.join(ids, "text_id", "left_semi").distinct()
+    @property
+    def members(self) -> DataFrame:
+        """text_id, key: the rows of each text that takes part."""
+        return self._rows.where(self._enough).select("text_id", self.key)
+
+    def _members_of(self, ids: DataFrame) -> DataFrame:
+        """text_id, key, content of the rows with these texts; only they are shuffled."""
+        return maybe_in(self._rows.select("text_id", self.key, "content"), F.col("text_id"), bitmap(ids, "text_id")).join(ids, "text_id", "left_semi")
 
     def pairs(self) -> DataFrame:
         """key_a < key_b of all rows with different keys whose texts are linked or the same: by definition as many as there are."""
-        m = self.linked_members()
+        ids = self.links.select(F.explode(F.array("text_a", "text_b")).alias("text_id")).distinct()
+        m = self._members_of(ids).select("text_id", self.key).distinct()
         a, b = (m.select(F.col("text_id").alias(f"text_{x}"), F.col(self.key).alias(f"key_{x}")) for x in "ab")
         linked = self.links.join(a, "text_a").join(b, "text_b").where("key_a <> key_b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))
-        twice = self.members.groupBy("text_id").agg(F.min(self.key).alias("x"), F.max(self.key).alias("y")).where("x <> y").select("text_id")
-        same = self.members.join(twice, "text_id", "left_semi").distinct()
+        h = F.xxhash64(self.key)
+        twice = written(self._rows.groupBy("text_id").agg(F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y").select("text_id"), "twice")
+        same = self._members_of(twice).where(self._enough).select("text_id", self.key).distinct()
         same = same.alias("p").join(same.alias("q"), "text_id").where(F.col(f"p.{self.key}") < F.col(f"q.{self.key}")).select(F.col(f"p.{self.key}").alias("key_a"), F.col(f"q.{self.key}").alias("key_b"))
         return linked.unionByName(same).distinct()
 
