@@ -45,6 +45,19 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(spark.read.parquet(f"{d}/chunks.parquet"), "row_id", "content").drop("text_hash")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from quirework.llm.names import entity_pairs
+
+    pairs = entity_pairs(spark.read.parquet(f"{d}/author_credits.parquet"), "credit_id", "authors", "affiliation")
+    return pairs.withColumnsRenamed({"key_a": "credit_id_a", "key_b": "credit_id_b"})
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    from quirework.llm.names import entities
+
+    return entities(spark.read.parquet(f"{d}/author_credits.parquet"), "credit_id", "authors", "affiliation")
+
+
 def _versions(spark: SparkSession, d: str):
     from quirework.llm.versions import Versions
 
@@ -95,7 +108,7 @@ def p8_profiles(spark: SparkSession, d: str) -> DataFrame:
     return page_profiles(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_repaired, p3_found, p3_pieces, p5_found, p5_groups, p6_containers, p6_bucket_batches, p7_found, p7_clean, p8_found, p8_profiles)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_containers, p6_bucket_batches, p7_found, p7_clean, p8_found, p8_profiles)}
 
 SQL: dict[str, str] = {
     "p3_found": r"""
