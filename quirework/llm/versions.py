@@ -118,17 +118,15 @@ class Versions:
         posts = signed.select("text_id", F.explode("keys").alias("prefix"))
         posts = posts.withColumn("low", F.min("text_id").over(by)).withColumn("high", F.max("text_id").over(by)).where("low < high").select("prefix", "text_id")
         posts = written(posts.distinct(), "shared")
-        a, b = posts.withColumnRenamed("text_id", "text_a"), posts.withColumnRenamed("text_id", "text_b")
-        pairs = a.join(b, "prefix").where("text_a < text_b").select("text_a", "text_b").distinct()
-
-        # all orders together: similar records agree in (1 + s) / 2 of the bits, less five standard deviations
+        # all orders together: similar records agree in (1 + s) / 2 of the bits, less five standard deviations. The bits
+        # travel with the shared keys, so that dissimilar pairs end in the join and are never shuffled
         agree = orders * (1 + threshold) / 2
         differ = int(orders - agree + 5 * math.sqrt(orders * (1 - threshold**2) / 4))
-        sketch = signed.groupBy("text_id").agg(F.any_value("sketch").alias("sketch"))
-        for x in "ab":
-            pairs = pairs.join(sketch.select(F.col("text_id").alias(f"text_{x}"), F.col("sketch").alias(f"sketch_{x}")), f"text_{x}")
+        posts = posts.join(signed.groupBy("text_id").agg(F.any_value("sketch").alias("sketch")), "text_id")
+        a, b = (posts.select("prefix", F.col("text_id").alias(f"text_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
         apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
-        pairs = written(pairs.where(apart <= differ).select("text_a", "text_b"), "candidates")
+        pairs = a.join(b, "prefix").where((F.col("text_a") < F.col("text_b")) & (apart <= differ)).select("text_a", "text_b").distinct()
+        pairs = written(pairs, "candidates")
 
         # verification on whole texts, of the candidates only
         ids = pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_id")).distinct()
