@@ -31,12 +31,11 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON file; missing or broken gives no rows."""
+    """A JSON file; missing or broken gives no rows, and so does an object with none of the fields."""
     try:
-        df = spark.read.schema(schema + ", _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
+        return spark.read.schema(schema).option("multiLine", True).json(path).dropna("all")
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    return df.where("_broken is null").drop("_broken")
 
 
 def read_documents(spark: SparkSession, path: str, parse: Callable[[bytes], list[dict]], glob: str = "*.pdf") -> DataFrame:
@@ -51,6 +50,6 @@ def read_documents(spark: SparkSession, path: str, parse: Callable[[bytes], list
                     out += [{"path": at, "error": None, **p} for p in parse(content)]
                 except Exception as e:  # noqa: BLE001
                     out.append({"path": at, "error": str(e)})
-            yield pd.DataFrame(out, columns=["path", "page_number", "text", "word_count", "has_figures", "error"]).astype({"page_number": "Int32", "word_count": "Int32", "has_figures": "boolean"})
+            yield pd.DataFrame(out, columns=["path", "page_number", "text", "word_count", "has_figures", "error"], dtype=object)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").mapInPandas(run, schemas.EXTRACTED)
