@@ -105,3 +105,18 @@ def prompt(system: Column, history: Column, message: Column) -> Column:
     """The messages of a model call: system, history, user."""
     one = lambda role, c: F.array(F.struct(F.lit(role).alias("role"), c.alias("content")))
     return F.concat(one("system", system), history, one("user", F.coalesce(message, F.lit(""))))
+
+
+def with_session(messages: DataFrame) -> DataFrame:
+    """messages with a fresh session_id where there is none."""
+    return messages.withColumn("session_id", F.coalesce("session_id", F.expr("uuid()")))
+
+
+def without_sessions(messages: DataFrame, gone: DataFrame) -> DataFrame:
+    """messages of other sessions than those of gone."""
+    return messages.join(gone.select("session_id").distinct(), "session_id", "left_anti")
+
+
+def needs_deep_check(message: Column, least: int = 100) -> Column:
+    """Whether a remote check for jailbreaks is asked: only long messages that no keyword has failed."""
+    return F.coalesce((F.length(message) > least) & ~jailbreak(message), F.lit(False))

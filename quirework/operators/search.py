@@ -100,3 +100,8 @@ def context(hits: DataFrame, keys: list[str], first_line: str = "Relevant public
     return g.select(*keys, F.concat(F.lit(first_line + "\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("context"))
 
 
+
+
+def summary(publications: DataFrame) -> DataFrame:
+    """What stands in for excerpts where a search has none: n and the publications' title, year and source as JSON lines."""
+    return publications.select(F.to_json(F.struct("title", "year", "source")).alias("entry"))

@@ -111,3 +111,15 @@ def results_repair(df: DataFrame, key: str, text: str, least_words: int = 20) ->
     body = l.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("b"))
     body = body.select(key, T.trim_ws(F.array_join(F.transform("b", lambda x: x["line"]), "\n")).alias("results"))
     return body.where(T.word_count(F.col("results")) > least_words)
+
+
+def classify_unmatched(s: DataFrame, key: str, chat) -> DataFrame:
+    """sections whose kind a provider may tell from the header: each distinct header is asked for once, and an answer
+    that is no canonical name leaves the section as it is."""
+    from quirework.operators.providers import answered
+
+    asked = answered(unmatched(s, key).select("raw_header").where("raw_header <> ''").distinct(), "raw_header", chat, "_said")
+    known = asked.where(F.col("_said").isin(list(V.SECTION_ALIASES)))
+    out = s.join(known, "raw_header", "left")
+    use = (F.col("canonical") == "other") & F.col("_said").isNotNull() & ~F.col("is_subsection")
+    return out.withColumn("confidence", F.when(use, "llm").otherwise(F.col("confidence"))).withColumn("canonical", F.when(use, F.col("_said")).otherwise(F.col("canonical"))).select(*s.columns)

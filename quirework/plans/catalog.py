@@ -519,3 +519,61 @@ def stub_answers(spark, d):
 
     h = Q.with_history(Q.once(read(spark, d, "chat_messages"))).where("role = 'user'")
     return answered(h.select("message_id", F.to_json(Q.prompt(F.lit("You answer."), F.col("history"), F.col("message"))).alias("prompt")), "prompt", EchoChat())
+
+
+@query(f"""SELECT message_id, CASE WHEN {sql_words("message")} <= 3 THEN message || ' (' || length(message) || ' characters read)' ELSE message END AS query FROM chat_messages WHERE message IS NOT NULL""")
+def query_expansion(spark, d):
+    from quirework.operators.providers import EchoChat, expanded
+
+    m = read(spark, d, "chat_messages").where("message is not null").select("message_id", F.col("message").alias("query"))
+    return expanded(m, "query", EchoChat())
+
+
+@query(f"""SELECT message_id, coalesce(length(message) > 100 AND NOT regexp_matches(lower(message), {q("|".join(V.JAILBREAK_WORDS))}), false) AS asked FROM chat_messages""")
+def deep_check_candidates(spark, d):
+    return read(spark, d, "chat_messages").select("message_id", Q.needs_deep_check(F.col("message")).alias("asked"))
+
+
+@query("""SELECT '{"title":"' || title || '","year":"' || year || '","source":"' || source || '"}' AS entry FROM papers""")
+def publication_summary(spark, d):
+    return S.summary(read(spark, d, "papers"))
+
+
+@query(rf"""SELECT paper_id, stem, {sql_words("stem")} >= 4 AS long_stem, {sql_words("title")} AS title_words, regexp_matches(title, {one_of(V.BAD_TITLES)}) AS refused
+    FROM (SELECT paper_id, title, {SQL_STEM.format("pdf_path")} AS stem FROM papers)""")
+def title_debug(spark, d):
+    stem, title = T.file_stem(F.col("pdf_path")), F.col("title")
+    return read(spark, d, "papers").select(
+        "paper_id", stem.alias("stem"), (T.word_count(stem) >= 4).alias("long_stem"), T.word_count(title).cast("long").alias("title_words"), title.rlike("(?i)" + V.any_of(V.BAD_TITLES)).alias("refused")
+    )
+
+
+@query("SELECT date_trunc('day', sent_at)::TIMESTAMP AS day, role, count(*) AS n FROM chat_messages GROUP BY ALL")
+def stream_activity(spark, d):
+    """Daily counts by a stream over the table; the memory sink holds a row for each day and role."""
+    import uuid
+
+    from quirework.streaming.pipelines import activity
+
+    name = "activity_" + uuid.uuid4().hex
+    schema = read(spark, d, "chat_messages").schema
+    m = spark.readStream.schema(schema).parquet(f"{d}/chat_messages.parquet*")
+    activity(m).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("day"), "role", "n")
+
+
+@query()
+def vec_ann_batch(spark, d):
+    from quirework.operators import cells
+
+    e = read(spark, d, "embeddings")
+    c = cells.fit(e, "vec_id", "embedding")
+    return cells.search(cells.index(e, "vec_id", "embedding", c), "vec_id", e.where(F.col("vec_id") % 50 == 0), "embedding", c)
+
+
+@query()
+def headers_by_provider(spark, d):
+    from quirework.operators.providers import EchoChat
+
+    s = P.sections(read(spark, d, "documents"), "doc_id", "text")
+    return P.classify_unmatched(s, "doc_id", EchoChat()).select("doc_id", "section_no", "canonical", "confidence")

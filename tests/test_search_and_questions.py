@@ -108,3 +108,32 @@ def test_captions(spark, caption, n):
 def test_vision_reply(spark):
     out = ask(spark, L.parse_vision, "FIGURE: 1\nCAPTION: cells\nDESCRIPTION: many\nFIGURE: 2\nCAPTION: more\nDESCRIPTION: few")
     assert [(x.figure, x.caption, x.description) for x in out] == [("1", "cells", "many"), ("2", "more", "few")]
+
+
+def test_cells_recall(spark):
+    from quirework.operators import cells
+
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = e.where("vec_id % 50 = 0")
+    c = cells.fit(e, "vec_id", "embedding")
+    found = {(r.query_id, r.vec_id) for r in cells.search(cells.index(e, "vec_id", "embedding", c), "vec_id", asked, "embedding", c).collect()}
+    exact = {(r.query_id, r.vec_id) for r in S.nearest_blocks(e, "vec_id", "embedding", asked).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+
+
+def test_headers_by_provider(spark):
+    from quirework.operators import sections as P
+
+    class Knows:
+        def answer(self, prompts):
+            return ["methods" if "ZEBRA" in p else "nonsense" for p in prompts]
+
+    df = spark.createDataFrame([(1, "ZEBRAS\none two\nGIRAFFES\nthree")], "id int, t string")
+    out = P.classify_unmatched(P.sections(df, "id", "t"), "id", Knows()).orderBy("section_no").collect()
+    assert [(r.canonical, r.confidence) for r in out] == [("methods", "llm"), ("other", "unknown")]
+
+
+def test_sessions_go(spark):
+    m = messages(spark, [(1, "user", "x", None)])
+    assert Q.without_sessions(m, m).count() == 0
+    assert Q.with_session(m.withColumn("session_id", F.lit(None).cast("string"))).where("session_id is null").count() == 0
