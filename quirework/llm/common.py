@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 #: A longest run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
 
+#: A line that is only a page number, and one that is only a number.
+PAGE = re.compile(r"[\W_]*(?:pages?|p|pp|seite|página|pág|s)?[\W_]*\d{1,5}(?:\s*(?:of|/|von|de|sur|-|–)\s*\d{1,5})?[\W_]*$", re.I)
+NUMBER = re.compile(r"\s*\d+\s*$")
+
 #: Words of a bitmap have 63 bits, so that no sign bit is touched.
 BITS_PER_WORD = 63
 
