@@ -121,7 +121,8 @@ def profile(text: str) -> tuple[int, float, float]:
     seg = np.array(seg_of)
     in_seg = np.bincount(seg, minlength=len(shape))
     repeats = np.bincount(seg, weights=runs > 0, minlength=len(shape)) / np.maximum(in_seg, 1)
-    short = [0 < n < 8 and f < 0.08 * n + 0.3 and not ended for n, f, _, _, ended in shape]
+    # an entry: few words and no function word; one that ends like a sentence only if the page repeats its words
+    short = [0 < n < 8 and f < 0.08 * n + 0.3 and (not ended or n > 1 and r >= 0.5) for (n, f, _, _, ended), r in zip(shape, repeats)]
     together, at = [0] * len(short), 0
     for is_short, group in groupby(short):
         size = len(list(group))
@@ -135,7 +136,7 @@ def profile(text: str) -> tuple[int, float, float]:
         if linked:  # a link's own words are no prose; the sentence around it may be
             rest = n - min(n, linked)
             stuffing += n if rest < 4 or clause < 0.15 else min(n, linked)
-        elif seps >= 0.3 * n and clause < 0.25:
+        elif seps >= 0.3 * n and clause < 0.25 or seps >= 0.15 * n and clause < 0.3 and repeats[k] >= 0.7:
             stuffing += n
         elif short[k]:
             # short lines without function words are list entries where three stand together, else headings
