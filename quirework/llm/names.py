@@ -47,11 +47,15 @@ def bands(similarity: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def fold(text: str) -> str:
-    """Lower case without accents and marks; written-out umlauts as the bare vowel."""
+def plain(text: str) -> str:
+    """Lower case without accents and marks."""
     t = unicodedata.normalize("NFKD", text.lower().replace("ß", "ss").replace("ø", "o").replace("ł", "l"))
-    t = "".join(c for c in t if not unicodedata.combining(c))
-    return re.sub(r"([aou])e", r"\1", t)
+    return "".join(c for c in t if not unicodedata.combining(c))
+
+
+def fold(text: str) -> str:
+    """plain, with written-out umlauts as the bare vowel."""
+    return re.sub(r"([aou])e", r"\1", plain(text))
 
 
 def edits(a: str, b: str) -> int:
@@ -77,6 +81,17 @@ def alike(a: str, b: str) -> float:
     return 1 - edits(a, b) / max(len(a), len(b), 1)
 
 
+def alike_either(a: tuple[str, str], b: tuple[str, str]) -> float:
+    """alike of two words as (folded, plain), whichever is closer: a slip may tear or make what looks like an umlaut."""
+    return 1.0 if a[0] == b[0] else max(alike(a[0], b[0]), alike(a[1], b[1]))
+
+
+def swapped(a: str, b: str) -> bool:
+    """Whether a is b with two neighbours swapped."""
+    d = [k for k, (x, y) in enumerate(zip(a, b)) if x != y]
+    return len(a) == len(b) and len(d) == 2 and d[1] == d[0] + 1 and a[d[0]] == b[d[1]] and a[d[1]] == b[d[0]]
+
+
 def monge_elkan(a: list[str], b: list[str], sim=alike) -> float:
     """The mean of each token's best similarity in the other name, from the side where it is less."""
     if not a or not b:
@@ -113,19 +128,21 @@ class Given:
 
 
 def parse(name: str, place: str | None, given: Given) -> dict:
-    """kind (person, org, acronym), family (or the organisation's words), names (full given names), initials."""
-    plain = re.sub(r"(?<=\w)[\d*†‡]+(?:,\d+)*|[*†‡]", " ", name)
-    acronym = re.findall(r"\(([A-Z]{2,8})\)", plain)
-    plain = re.sub(r"\([^)]*\)", " ", plain)
-    words = re.findall(r"[^\W\d_]+", plain)
+    """kind (person, org, acronym), family (or the organisation's words), names (full given names), initials; plain: the
+    words of family as they are spelled."""
+    bare = re.sub(r"(?<=\w)[\d*†‡]+(?:,\d+)*|[*†‡]", " ", name)
+    acronym = re.findall(r"\(([A-Z]{2,8})\)", bare)
+    bare = re.sub(r"\([^)]*\)", " ", bare)
+    words = re.findall(r"[^\W\d_]+", bare)
+    spelled = {fold(w): plain(w) for w in words}
     if len(words) == 1 and 3 <= len(words[0]) <= 8 and words[0].isupper():
-        return {"kind": "acronym", "family": [words[0].lower()], "names": [], "initials": []}
+        return {"kind": "acronym", "family": [words[0].lower()], "plain": [words[0].lower()], "names": [], "initials": []}
     low = [fold(w) for w in words]
     where = fold(place or "")
     if any(w == "for" for w in low) or where and where in low or any(w in ("cons", "netw", "collab") or len(w) > 4 and any(edits(w, k) <= 1 for k in KINDS if abs(len(k) - len(w)) < 2) for w in low):
         own = [w for w in low if w != where and w not in SMALL]
-        return {"kind": "org", "family": own, "names": [x.lower() for x in acronym], "initials": []}
-    left, _, right = plain.partition(",")
+        return {"kind": "org", "family": own, "plain": [spelled[w] for w in own], "names": [x.lower() for x in acronym], "initials": []}
+    left, _, right = bare.partition(",")
     has_titles = lambda s: [w for w in re.findall(r"[^\W\d_]+", s) if fold(w) not in TITLES]
     a, b = has_titles(left), has_titles(right)
     long = lambda ws: [fold(w) for w in ws if len(w) > 1 and not (len(w) == 2 and w.isupper() and fold(w) not in given.full)]
@@ -149,7 +166,8 @@ def parse(name: str, place: str | None, given: Given) -> dict:
             family, rest = rest, []
     names = sorted(given.canonical(rest[0]) or {rest[0]}) if rest else []
     initials = sorted(set().union(*(given.initials.get(n, {n[0]}) for n in names))) if names else first[:1]
-    return {"kind": "person", "family": family or rest or first, "names": names, "initials": initials}
+    family = family or rest or first
+    return {"kind": "person", "family": family, "plain": [spelled.get(w, w) for w in family], "names": names, "initials": initials}
 
 
 def q_grams(words: list[str], q: int = 2) -> set[str]:
@@ -179,8 +197,8 @@ def _nodes(batches: Iterator[pd.DataFrame], present: set[str], n_bands: int, row
                         for r in range(rows):
                             k = mix(k * np.uint64(0x9E3779B97F4A7C15) + m[:, r])
                     keys += k.tolist()
-            out.append((p["kind"], p["family"], p["names"], p["initials"], np.array(sorted(set(keys)), np.uint64).view(np.int64)))
-        yield d.assign(**dict(zip(["kind", "family", "names", "initials", "bands"], zip(*out)))) if out else d.assign(kind=[], family=[], names=[], initials=[], bands=[])
+            out.append((p["kind"], p["family"], p["plain"], p["names"], p["initials"], np.array(sorted(set(keys)), np.uint64).view(np.int64)))
+        yield d.assign(**dict(zip(["kind", "family", "plain", "names", "initials", "bands"], zip(*out)))) if out else d.assign(kind=[], family=[], plain=[], names=[], initials=[], bands=[])
 
 
 def same(a: dict, b: dict, place: str, least: float) -> float:
@@ -198,14 +216,14 @@ def same(a: dict, b: dict, place: str, least: float) -> float:
         return float(sorted(short["family"][0]) == full)
     if ka != kb:
         return 0.0
-    sim = monge_elkan(a["family"], b["family"])
+    sim = monge_elkan(*(list(zip(x["family"], x["plain"])) for x in (a, b)), alike_either)
     if sim < least or ka == "org":
         return sim if sim >= least else 0.0
     if len(a["family"]) != len(b["family"]) and "".join(sorted("".join(a["family"]))) != "".join(sorted("".join(b["family"]))):
         return 0.0
     # a spelling of the family name that several rows have is no slip of another one
     x, y = sorted((a["support"], b["support"]))
-    if sorted(a["family"]) != sorted(b["family"]) and x >= max(2, 0.1 * y):
+    if sorted(a["family"]) != sorted(b["family"]) and x >= max(2, 0.1 * y) and not any(swapped(p, q) for p in a["plain"] for q in b["plain"]):
         return 0.0
     if a["names"] and b["names"]:
         close = bool(set(a["names"]) & set(b["names"])) or any(p[0] == q[0] and alike(p, q) >= 0.75 for p in a["names"] for q in b["names"])
@@ -215,8 +233,8 @@ def same(a: dict, b: dict, place: str, least: float) -> float:
 
 def _check(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
     for d in batches:
-        sims = [same({k: r[f"{k}_a"] for k in ("kind", "support")} | {k: list(r[f"{k}_a"]) for k in ("family", "names", "initials")},
-                     {k: r[f"{k}_b"] for k in ("kind", "support")} | {k: list(r[f"{k}_b"]) for k in ("family", "names", "initials")}, fold(r["place"]), least)
+        sims = [same({k: r[f"{k}_a"] for k in ("kind", "support")} | {k: list(r[f"{k}_a"]) for k in ("family", "plain", "names", "initials")},
+                     {k: r[f"{k}_b"] for k in ("kind", "support")} | {k: list(r[f"{k}_b"]) for k in ("family", "plain", "names", "initials")}, fold(r["place"]), least)
                 for r in d.to_dict("records")]
         yield d[["a", "b"]].assign(sim=np.array(sims, float))
 
@@ -251,7 +269,7 @@ class Names:
         w = typed.select(F.explode(F.split(F.lower("name"), r"[^\p{L}]+")).alias("w")).where(F.col("w").isin(shorts)).distinct()
         present = {r[0] for r in w.collect()}
         n_bands = bands(similarity, recall, rows)
-        kinds = "node bigint, place string, name string, n bigint, kind string, family array<string>, names array<string>, initials array<string>, bands array<bigint>"
+        kinds = "node bigint, place string, name string, n bigint, kind string, family array<string>, plain array<string>, names array<string>, initials array<string>, bands array<bigint>"
         nodes = placed.select("node", "place", "name", "n").repartition("node").mapInPandas(lambda it: _nodes(it, present, n_bands, rows), kinds)
         nodes = nodes.withColumn("support", F.sum("n").over(W.partitionBy("place", "kind", F.array_sort("family"))))
         self.nodes = nodes = written(nodes, "nodes")
@@ -260,7 +278,7 @@ class Names:
         a, b = keys.withColumnRenamed("node", "a"), keys.withColumnRenamed("node", "b")
         pairs = a.join(b, ["place", "band"]).where("a < b").select("a", "b").distinct()
         for x in "ab":
-            pairs = pairs.join(nodes.select(F.col("node").alias(x), *(["place"] if x == "a" else []), *(F.col(c).alias(f"{c}_{x}") for c in ("kind", "family", "names", "initials", "support"))), x)
+            pairs = pairs.join(nodes.select(F.col("node").alias(x), *(["place"] if x == "a" else []), *(F.col(c).alias(f"{c}_{x}") for c in ("kind", "family", "plain", "names", "initials", "support"))), x)
         links = pairs.mapInPandas(lambda it: _check(it, least), "a bigint, b bigint, sim double").where("sim > 0")
         self.links = written(links, "links")
         self.stars = self._stars()
@@ -270,7 +288,7 @@ class Names:
         both = self.links.select("a", "b").unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         full = F.size("names") > 0
         rank = both.groupBy("a").agg(F.count("*").alias("degree")).join(self.nodes.select(F.col("node").alias("a"), "n", "support", full.alias("full")), "a")
-        rank = rank.select(F.col("a").alias("node"), F.struct("support", "full", "degree", "n", F.negative("a").alias("id")).alias("rank"))
+        rank = rank.select(F.col("a").alias("node"), F.struct("support", "degree", "full", "n", F.negative("a").alias("id")).alias("rank"))
         edges = written(both.join(rank.select(F.col("node").alias("b"), F.col("rank").alias("rank_b")), "b").join(rank.select(F.col("node").alias("a"), F.col("rank").alias("rank_a")), "a"), "edges")
         done = None
         while True:
@@ -282,7 +300,14 @@ class Names:
             out = stars.select("node")
             edges = written(edges.join(out.withColumnRenamed("node", "a"), "a", "left_anti").join(out.withColumnRenamed("node", "b"), "b", "left_anti"), "edges")
             if edges.isEmpty():
-                return done
+                break
+        # a node left alone, all of whose neighbours other centres took, goes with the one of highest rank
+        done = written(done, "stars")
+        alone = done.groupBy("centre").agg(F.count("*").alias("c")).where("c = 1").select(F.col("centre").alias("a"))
+        near = both.join(alone, "a").join(rank.select(F.col("node").alias("b"), "rank"), "b").join(done.select(F.col("node").alias("b"), "centre"), "b")
+        moved = near.join(alone.select(F.col("a").alias("centre")), "centre", "left_anti").groupBy("a").agg(F.max_by("centre", "rank").alias("to"))
+        out = done.join(moved, done["node"] == moved["a"], "left").select("node", F.coalesce("to", "centre").alias("centre"))
+        return written(out, "stars")
 
     def members(self) -> DataFrame:
         """key, entity: one row for each row with a name."""
