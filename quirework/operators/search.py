@@ -65,6 +65,15 @@ def nearest(vectors: DataFrame, key: str, vector: str, queries: list[tuple[int,
     return r.select("query_id", "rank", F.col("_id").alias(key), F.round("distance", 4).alias("distance"))
 
 
+def distances(vectors: DataFrame, key: str, vector: str, query: list[float]) -> DataFrame:
+    """key, distance of every row to one query, without ranks and so without a shuffle."""
+    v = F.array(*(F.lit(float(x)) for x in query))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    c = F.col(vector)
+    size = F.sqrt(dot(c, c)) * F.sqrt(dot(v, v))
+    return vectors.where(c.isNotNull()).select(key, F.round(1 - dot(c, v) / F.nullif(size, F.lit(0.0)), 4).alias("distance"))
+
+
 def nearest_blocks(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
     """nearest for a stated set of queries, in blocks of at most `block` queries at a time."""
     spark, out, rows = vectors.sparkSession, None, []

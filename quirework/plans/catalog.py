@@ -121,7 +121,7 @@ def vec_topk_batch(spark, d):
     FROM embeddings e, embeddings v WHERE v.vec_id = 0) GROUP BY band""")
 def vec_band(spark, d):
     e = read(spark, d, "embeddings")
-    hits = S.nearest(e, "vec_id", "embedding", _query_vector(e, 0), k=e.count())
+    hits = S.distances(e, "vec_id", "embedding", _query_vector(e, 0)[0][1])
     return hits.groupBy(S.band(F.col("distance")).alias("band")).agg(F.count("*").alias("n"))
 
 
