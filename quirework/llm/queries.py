@@ -7,22 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table; spread over the cores where its files give fewer partitions than there are."""
+    t = spark.read.parquet(f"{d}/{name}.parquet").select(*columns)
+    n = spark.sparkContext.defaultParallelism
+    return t if t.rdd.getNumPartitions() >= n else t.repartition(n)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.truncation import truncated
 
-    return truncated(spark.read.parquet(f"{d}/chunks.parquet"), "row_id", "feed", ["content", "caption"]).select("row_id", "field").distinct()
+    return truncated(table(spark, d, "chunks", "row_id", "feed", "content", "caption"), "row_id", "feed", ["content", "caption"]).select("row_id", "field").distinct()
 
 
 def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.truncation import truncation_rates
 
-    return truncation_rates(spark.read.parquet(f"{d}/chunks.parquet"), "row_id", "feed", ["content", "caption"])
+    return truncation_rates(table(spark, d, "chunks", "row_id", "feed", "content", "caption"), "row_id", "feed", ["content", "caption"])
 
 
 def _scans(spark: SparkSession, d: str):
     from quirework.llm.scans import Scans
 
-    return Scans(spark.read.parquet(f"{d}/chunks.parquet"), "row_id", ["content", "caption"], title="title")
+    return Scans(table(spark, d, "chunks", "row_id", "title", "content", "caption"), "row_id", ["content", "caption"], title="title")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +68,7 @@ def p4_entities(spark: SparkSession, d: str) -> DataFrame:
 def _versions(spark: SparkSession, d: str):
     from quirework.llm.versions import Versions
 
-    return Versions(spark.read.parquet(f"{d}/chunks.parquet"), "chunk_id", "title", "content", threshold=0.6, run=3, least_words=40)
+    return Versions(table(spark, d, "chunks", "chunk_id", "title", "content"), "chunk_id", "title", "content", threshold=0.6, run=3, least_words=40)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,37 +82,37 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.packing import packed
 
-    return packed(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+    return packed(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def p6_bucket_batches(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.packing import bucket_batches
 
-    return bucket_batches(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+    return bucket_batches(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.contamination import leaks
 
-    return leaks(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet")).select("doc_id", "item_id").distinct()
+    return leaks(table(spark, d, "documents", "doc_id", "text"), spark.read.parquet(f"{d}/eval_items.parquet")).select("doc_id", "item_id").distinct()
 
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.contamination import without_leaks
 
-    return without_leaks(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet"))
+    return without_leaks(table(spark, d, "documents", "doc_id", "text"), spark.read.parquet(f"{d}/eval_items.parquet"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.stuffing import stuffed
 
-    return stuffed(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").select("doc_id").distinct()
+    return stuffed(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id").distinct()
 
 
 def p8_profiles(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.stuffing import page_profiles
 
-    return page_profiles(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+    return page_profiles(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_containers, p6_bucket_batches, p7_found, p7_clean, p8_found, p8_profiles)}
