@@ -36,6 +36,13 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' ids and texts; spread over the cores where the files give fewer partitions than there are."""
+    t = read(spark, d, "documents").select("doc_id", "text")
+    n = spark.sparkContext.defaultParallelism
+    return t if t.rdd.getNumPartitions() >= n else t.repartition(n)
+
+
 def q(pattern: str) -> str:
     """A text as an SQL literal."""
     return "'" + pattern.replace("'", "''") + "'"
@@ -237,22 +244,22 @@ def full_text_assembly(spark, d):
 # ---- sections
 @query(f"WITH {SQL_LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, s AS header, canon AS canonical FROM h WHERE head")
 def header_candidates(spark, d):
-    return P.headers(read(spark, d, "documents"), "doc_id", "text")
+    return P.headers(texts(spark, d), "doc_id", "text")
 
 
 @query(f"WITH {SQL_SECTIONS} SELECT doc_id, section_no, canonical, raw_header, confidence, md5(content) AS content, start_line, is_subsection FROM sections")
 def sections_all(spark, d):
-    return P.sections(read(spark, d, "documents"), "doc_id", "text").withColumn("content", F.md5("content"))
+    return P.sections(texts(spark, d), "doc_id", "text").withColumn("content", F.md5("content"))
 
 
 @query(f"WITH {SQL_SECTIONS} SELECT doc_id, canonical, md5(content) AS content, confidence FROM merged")
 def sections_merged(spark, d):
-    return P.merged(P.sections(read(spark, d, "documents"), "doc_id", "text"), "doc_id").withColumn("content", F.md5("content"))
+    return P.merged(P.sections(texts(spark, d), "doc_id", "text"), "doc_id").withColumn("content", F.md5("content"))
 
 
 @query(f"WITH {SQL_SECTIONS} SELECT doc_id, raw_header FROM sections WHERE canonical = 'other' AND content <> '' AND NOT is_subsection")
 def sections_unmatched(spark, d):
-    return P.unmatched(P.sections(read(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return P.unmatched(P.sections(texts(spark, d), "doc_id", "text"), "doc_id")
 
 
 @query(rf"""WITH lines AS (SELECT doc_id, i AS n, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) u(i)),
@@ -261,12 +268,12 @@ def sections_unmatched(spark, d):
     b AS (SELECT doc_id, {sql_trim("string_agg(line, chr(10) ORDER BY n)")} AS results FROM a WHERE stop IS NULL OR n < stop GROUP BY doc_id)
     SELECT doc_id, md5(results) AS results FROM b WHERE {sql_words("results")} > 20""")
 def results_repair(spark, d):
-    return P.results_repair(read(spark, d, "documents"), "doc_id", "text").withColumn("results", F.md5("results"))
+    return P.results_repair(texts(spark, d), "doc_id", "text").withColumn("results", F.md5("results"))
 
 
 # ---- chunks
 def _built(spark, d):
-    docs = read(spark, d, "documents")
+    docs = texts(spark, d)
     return C.build(docs, P.merged(P.sections(docs, "doc_id", "text"), "doc_id"), "doc_id")
 
 
@@ -575,5 +582,5 @@ def vec_ann_batch(spark, d):
 def headers_by_provider(spark, d):
     from quirework.operators.providers import EchoChat
 
-    s = P.sections(read(spark, d, "documents"), "doc_id", "text")
+    s = P.sections(texts(spark, d), "doc_id", "text")
     return P.classify_unmatched(s, "doc_id", EchoChat()).select("doc_id", "section_no", "canonical", "confidence")
