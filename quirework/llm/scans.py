@@ -50,6 +50,23 @@ def header_key(line: str) -> str | None:
     return re.sub(r"\d+", "0", core.casefold())
 
 
+def header_places(text: str) -> Iterator[tuple[str, str, str, bool]]:
+    """A text's lines that may be headers, with the words around them: (masked form, before, after, stands out).
+
+    before and after are the two words on either side, across blank lines and page numbers; after a text's last line,
+    the two words before those. A line stands out where the long words next to it begin without a capital, which they
+    don't in running text in capitals. A text's first line is no evidence: a header stands between or after lines.
+    """
+    lines = [x for x in LINES.split(text) if x.strip() and not PAGE.match(x)]
+    for k, line in enumerate(lines):
+        if k and (key := header_key(line)) is not None:
+            above, below = ([w for x in near for w in WORD.findall(x)] for near in (lines[max(0, k - 4) : k], lines[k + 1 : k + 5]))
+            beside = (next((w for w in ws if len(w) > 3 and w.isalpha()), "") for ws in (above[::-1], below))
+            out = not any(w[:1].isupper() for w in beside)
+            above, below = ([w.lower() for w in ws] for ws in (above, below))
+            yield key, " ".join(above[-2:]), " ".join(below[:2]) if below else "\r" + " ".join(above[-4:-2]), out
+
+
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for d in batches:
         texts = list(d["_value"])
@@ -80,9 +97,9 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         words[part] = words.get(part, 0) + c
         for t in texts:
             if "\n" in t or "\r" in t:
-                for line in LINES.split(t):
-                    if (k := header_key(line)) is not None:
-                        words["\n" + k] = words.get("\n" + k, 0) + 1
+                for key, before, after, out in header_places(t):
+                    place = f"\n{key}\n{before}\n{after}\n{out:d}"
+                    words[place] = words.get(place, 0) + 1
         lows = [t.lower() for t in distinct.tolist()]
         left = np.fromiter((_hash(t) for t in lows), np.int64, len(lows))
         right = np.fromiter((_hash(t + "\x01") for t in lows), np.int64, len(lows))
@@ -234,7 +251,7 @@ class Scans:
         b = b.where(broken).join(misread.groupBy("form").agg(F.max_by("fix", "fix_n").alias("whole")), F.col("w_j") == F.col("form"), "left")
         b = b.select("_key", "field", "vid", "no", F.lit(True).alias("broken"), F.col("whole"))
 
-        headers = words.where(F.col("word").startswith("\n") & (F.col("n") >= 3)).select(F.substring("word", 2, 1000).alias("header"), F.lit(True).alias("is_header"))
+        headers = _headers(words.where(F.col("word").startswith("\n")).select("word"))
         each = each.join(headers, "header", "left").withColumn("kind", F.when(F.col("is_header"), "header").otherwise(F.col("kind")))
         on = ["_key", "field", "vid", "no"]
         safe = lambda x, y: [x[c].eqNullSafe(y[c]) for c in on]
@@ -275,6 +292,21 @@ class Scans:
         return t.select(F.col("_key").alias(self.key), "field", F.trim(F.array_join(F.transform("p", lambda s: s["line"]), "\n")).alias("repaired"))
 
 
+def _headers(places: DataFrame, least: int = 3) -> DataFrame:
+    """header, is_header of the masked lines that stand between unrelated texts. places: word, each place once.
+
+    Copies of a text give one place. Places that share the words on one side (versions of a text) count together as
+    one; there must be `least` of them and a tenth of all places, so that edits in many versions don't add up. Half of
+    the places must stand out from their texts, so that lines of texts in capitals are none at any size.
+    """
+    part = F.split("word", "\n")
+    p = places.select(part[1].alias("header"), part[2].alias("before"), part[3].alias("after"), part[4].cast("int").alias("out"))
+    p = p.groupBy("header", "before", "after").agg(F.max("out").alias("out"))
+    same = F.greatest(*(F.count("*").over(W.partitionBy("header", c)) for c in ("before", "after")))
+    g = p.withColumn("share", 1 / same).groupBy("header").agg(F.sum("share").alias("apart"), F.count("*").alias("places"), F.avg("out").alias("out"))
+    return g.where((F.col("apart") > least - 0.01) & (F.col("apart") >= F.col("places") / 10) & (F.col("out") >= 0.5)).select("header", F.lit(True).alias("is_header"))
+
+
 def _likely(seen: pd.Series, meant: pd.Series) -> pd.Series:
     """One misreading, and one more for every five letters."""
     return pd.Series([(n := misreadings(a, b)) is not None and n <= 1 + len(b) // 5 for a, b in zip(seen, meant)], dtype=bool)
