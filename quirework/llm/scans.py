@@ -206,19 +206,17 @@ class Scans:
         plain = words.where(~F.col("word").contains("-") & ~F.col("word").startswith("\n") & (F.length("word") >= 3))
         shape = F.pandas_udf(lambda s: s.map(skeleton), T.StringType())
         plain = plain.withColumn("shape", shape("word"))
-        # the most frequent forms of a shape are its words
-        top = plain.where(F.col("word").rlike(r"^\p{L}+$") & (F.col("n") >= least)).withColumn("r", F.row_number().over(W.partitionBy("shape").orderBy(F.desc("n"), "word"))).where("r <= 5")
-        top = top.select("shape", F.col("word").alias("fix"), F.col("n").alias("fix_n"))
+        # a shape's words are its frequent forms that are no misreadings of a far more frequent one
+        top = plain.where(F.col("word").rlike(r"^\p{L}+$") & (F.col("n") >= least)).select("shape", F.col("word").alias("fix"), F.col("n").alias("fix_n"))
         likely = F.pandas_udf(_likely, T.BooleanType())
         enough = F.when(F.length("word") < 5, 10 * ratio).otherwise(ratio)
-        misread = written(
-            plain.where(F.col("word").rlike(r"\p{L}")).join(top, "shape").where((F.col("word") != F.col("fix")) & (F.col("fix_n") >= F.col("n") * enough))
-            .select(F.col("word").alias("form"), "fix", "n", "fix_n").where(likely("form", "fix")),
-            "misread",
+        meant = lambda forms, words, times: (
+            forms.join(words, "shape").where((F.col("word") != F.col("fix")) & (F.col("fix_n") >= F.col("n") * times))
+            .select(F.col("word").alias("form"), "fix", "n", "fix_n").where(likely("form", "fix"))
         )
-        # what is a misreading itself is no word to be meant
-        own = misread.where("fix_n >= 20 * n").select(F.col("form").alias("fix")).distinct()
-        self.misread = misread = written(misread.join(own, "fix", "left_anti"), "misread")
+        own = meant(top.select("shape", F.col("fix").alias("word"), F.col("fix_n").alias("n")), top, F.greatest(enough, F.lit(20))).select(F.col("form").alias("fix")).distinct()
+        top = written(top.join(own, "fix", "left_anti"), "top")
+        self.misread = misread = written(meant(plain.where(F.col("word").rlike(r"\p{L}")), top, enough), "misread")
         s = F.xxhash64("form").bitwiseAND(F.lit(bits - 1))
         got = misread.select((s / 8).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1), (s % 8).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
         marks = np.zeros(bits // 8, np.uint8)  # at most bits / 8 rows, whatever the number of forms

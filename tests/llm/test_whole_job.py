@@ -21,3 +21,14 @@ def test_headers_by_unrelated_places(spark):
     s = scans.Scans(df, "id", ["content"])
     assert {x["_key"] for x in s.lines.where("damage = 'header'").collect()} == {300, 301, 302}
     assert {x.id for x in s.repaired().where("repaired not like '%Letters%'").collect()} == {300, 301, 302}
+
+
+def test_every_word_of_a_shape_may_be_meant(spark):
+    words = ["battle", "baffle", "baille", "bajtle", "balfle", "bartle", "bafile", "battie", "batile"]
+    assert len({scans.skeleton(w) for w in words}) == 1
+    rows = [(100 * k + j, f"The {w} improved the outcome.") for k, w in enumerate(words) for j in range(90 - k)]
+    rows += [(9000, "The bat1le improved the outcome.")]
+    df = spark.createDataFrame(rows, "id long, content string")
+    s = scans.Scans(df, "id", ["content"])
+    assert "batile" in {x.fix for x in s.misread.where("form = 'bat1le'").collect()}
+    assert {x.id for x in s.found().collect()} == {9000}
