@@ -25,7 +25,7 @@ def build(papers: DataFrame, merged: DataFrame, key: str) -> DataFrame:
     c = c.where(~F.col("chunk_type").isin(V.OPTIONAL_TYPES) | (F.col("word_count") >= LEAST_WORDS))
     no = F.row_number().over(W.partitionBy(key).orderBy("place")) - 1
     return c.withColumn("no", no).select(
-        key, "chunk_type", F.concat_ws("__", F.col(key).cast("string"), "chunk_type", F.lpad(F.col("no").cast("string"), 3, "0")).alias("chunk_id"),
+        key, "chunk_type", F.concat_ws("__", F.col(key).cast("string"), "chunk_type", F.format_string("%03d", "no")).alias("chunk_id"),
         "content", "word_count", F.coalesce("confidence", F.lit("unknown")).alias("confidence"),
     )
 
@@ -47,7 +47,7 @@ def with_figures(chunks: DataFrame, figures: DataFrame, key: str) -> DataFrame:
     f = figures.withColumn("no", no).join(n, key, "left").withColumn("no", F.col("no") + F.coalesce("n", F.lit(0)))
     content = figure_content(F.col("caption"), F.col("figure_id"))
     f = f.select(
-        key, F.lit("figure").alias("chunk_type"), F.concat_ws("__", F.col(key).cast("string"), F.lit("figure"), F.lpad(F.col("no").cast("string"), 3, "0")).alias("chunk_id"),
+        key, F.lit("figure").alias("chunk_type"), F.concat_ws("__", F.col(key).cast("string"), F.lit("figure"), F.format_string("%03d", "no")).alias("chunk_id"),
         content.alias("content"), T.word_count(content).alias("word_count"), F.lit("figure").alias("confidence"),
     )
     return chunks.unionByName(f)

@@ -1,0 +1,12 @@
+"""Cases beyond the sizes of the test tables."""
+
+from pyspark.sql import functions as F
+
+from quirework.operators import chunks as C
+
+
+def test_figure_numbers_over_999(spark):
+    chunks = spark.range(998).select(F.lit("p").alias("k"), F.lit("methods").alias("chunk_type"), F.concat(F.lit("p__methods__"), "id").alias("chunk_id"), F.lit("x").alias("content"), F.lit(1).alias("word_count"), F.lit("regex").alias("confidence"))
+    figures = spark.range(12).select(F.lit("p").alias("k"), F.format_string("fig%02d", "id").alias("figure_id"), F.lit("A caption").alias("caption"))
+    got = sorted(r.chunk_id for r in C.with_figures(chunks, figures, "k").where("chunk_type = 'figure'").collect())
+    assert got == sorted(f"p__figure__{n:03d}" for n in range(998, 1010))
