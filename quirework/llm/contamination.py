@@ -92,23 +92,31 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 def _windows(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     for d in batches:
-        for key, text in zip(d.id, d.text):
+        for key, row, text in zip(d.id, d.row, d.text):
             words = WORD.findall(text.lower())
             h = _grams(words, n).view(np.int64)
             if len(h):
-                yield pd.DataFrame({"id": key, "p": np.arange(len(h)), "h": h, "gram": [" ".join(words[k : k + n]) for k in range(len(h))]})
+                spans = np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
+                same = len(spans) == len(words)
+                start, stop = (spans[: len(h), 0], spans[n - 1 :, 1]) if same else (-1, -1)
+                yield pd.DataFrame({"id": key, "row": row, "p": np.arange(len(h)), "h": h, "gram": [" ".join(words[k : k + n]) for k in range(len(h))], "start": start, "stop": stop})
 
 
 def _joined(d: DataFrame, i: DataFrame, n: int) -> DataFrame:
-    """leaks for more items than can be broadcast: windows joined by hash, verified by their words, runs of hits merged."""
-    of = lambda x, key: x.select(F.col(key).alias("id"), "text").mapInPandas(lambda it: _windows(it, n), "id bigint, p bigint, h bigint, gram string")
-    a, b = of(d, "doc_id"), of(i, "item_id").select(F.col("id").alias("item_id"), F.col("p").alias("q"), "h", F.col("gram").alias("gram2"))
-    hit = a.join(b, "h").where("gram = gram2").select(F.col("id").alias("doc_id"), "item_id", "p", "q").distinct()
+    """leaks for more items than can be broadcast: windows joined by hash, verified by their words, runs of hits merged.
+
+    Rows are told apart, so that texts of one id aren't mixed and repeated rows give repeated passages.
+    """
+    of = lambda x, key, row: x.select(F.col(key).alias("id"), row.alias("row"), "text").mapInPandas(lambda it: _windows(it, n), "id bigint, row bigint, p bigint, h bigint, gram string, start bigint, stop bigint")
+    a = of(d, "doc_id", F.monotonically_increasing_id()).withColumnRenamed("id", "doc_id")
+    b = of(i, "item_id", F.xxhash64("text")).select(F.col("id").alias("item_id"), F.col("row").alias("row2"), F.col("p").alias("q"), "h", F.col("gram").alias("gram2"))
+    hit = a.join(b, "h").where("gram = gram2").select("doc_id", "row", "item_id", "row2", "p", (F.col("p") - F.col("q")).alias("diagonal"), "start", "stop")
     from pyspark.sql import Window as W
 
-    run = hit.withColumn("run", F.col("p") - F.row_number().over(W.partitionBy("doc_id", "item_id", F.col("p") - F.col("q")).orderBy("p")))
-    g = run.groupBy("doc_id", "item_id", (F.col("p") - F.col("q")).alias("diagonal"), "run").agg(F.count("*").alias("c"))
-    return g.select("doc_id", "item_id", F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("stop"), (F.col("c") + n - 1).alias("n_words"))
+    by = ["doc_id", "row", "item_id", "row2", "diagonal"]
+    run = hit.withColumn("run", F.col("p") - F.row_number().over(W.partitionBy(*by).orderBy("p")))
+    g = run.groupBy(*by, "run").agg(F.count("*").alias("c"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return g.select("doc_id", "item_id", "start", "stop", (F.col("c") + n - 1).alias("n_words"))
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,7 +2,7 @@
 
 import random
 
-from quirework.llm import scans
+from quirework.llm import contamination, scans
 
 NOUNS = ["treatment", "response", "carcinoma", "membrane", "receptor", "antibody", "tissue", "margin", "volume", "protein"]
 
@@ -32,3 +32,16 @@ def test_every_word_of_a_shape_may_be_meant(spark):
     s = scans.Scans(df, "id", ["content"])
     assert "batile" in {x.fix for x in s.misread.where("form = 'bat1le'").collect()}
     assert {x.id for x in s.found().collect()} == {9000}
+
+
+def test_leaks_joined_give_the_same_spans(spark):
+    w = [f"w{k}" for k in range(60)]
+    items = spark.createDataFrame([(1, " ".join(w[:30])), (1, " ".join(w[20:50])), (2, " ".join(w[5:25]).upper())], "item_id long, text string")
+    docs = [(1, "Before, " + "  ".join(w[3:28]) + ". After."), (1, "Other text: " + " ".join(w[10:40])), (2, " ".join(w[:12])), (3, "İ " + " ".join(w[:20])), (4, "x " + " ".join(w[:14])), (4, "x " + " ".join(w[:14])), (None, " ".join(w)), (6, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [sorted(map(tuple, contamination.leaks(docs, items, max_grams=m).collect())) for m in (2_000_000, 0)]
+    assert got[0] == got[1] and len(got[0]) > 6
+    # documents of which all rows have a known place
+    docs = docs.where("doc_id in (2, 4)").distinct()
+    clean = [sorted(map(tuple, contamination.without_leaks(docs, items, max_grams=m).collect())) for m in (2_000_000, 0)]
+    assert clean[0] == clean[1] == [(2, " ".join(w[:12])), (4, "x ")]
