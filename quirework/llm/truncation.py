@@ -25,6 +25,12 @@ ENDED = re.compile(r"[.!?。！？][\"'”’»)\]}]*$")
 OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
 DELIMITERS = re.compile(r"[()\[\]{}“”«»„\"]|</?[A-Za-z][^<>]*>|<(?:/?[A-Za-z][^<>]*)?$|[.!?](?=\s+[^\W\d_a-z])|\n\s*\n")
 DANGLING = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|&#?[A-Za-z0-9]{0,8}|(?<=%[0-9A-Fa-f]{2})%[0-9A-Fa-f]?|�+|[\ud800-\udbff])$")
+_ANY = r"[^()\[\]{}“”«»„]*"
+#: What needs a look at a value that ends well: broken bytes, markup, and an opening delimiter whose next delimiter
+#: isn't its own closing one (Java's syntax; one class first, so that other characters are passed over quickly).
+DOUBTFUL = r"[(\[{“«„<\x{FFFD}](?:" + "|".join(rf"(?<={a})(?!{_ANY}{b})" for a, b in [(r"\(", r"\)"), (r"\[", r"\]"), (r"\{", r"\}"), "“”", "«»", "„“"]) + r"|(?<=<)(?=/?[A-Za-z])|(?<=\x{FFFD}))"
+#: A last line that may be a page number.
+FOOT = r"\n[^\n]*\d[^\n\p{L}]*$"
 VOID = {"br", "hr", "img", "input", "meta", "link"}
 TOKEN = re.compile(r"[^\W_]+(?:[-'’./_][^\W_]+)*%?|[.!?;]+(?=\s|$)|[^\w\s]")
 CODE = re.compile(r"[A-Z]{2,}[A-Z0-9]*\d+[A-Z0-9]*(?:-[a-z]+)?$")
@@ -177,8 +183,10 @@ def judged(df: DataFrame, key: str, source: str, fields: list[str], bits: int =
         F.col(key).alias("_key"), F.col(source).alias("_source"),
         F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("_value")) for f in fields))).alias("_v"),
     ).select("_key", "_source", "_v.field", "_v._value").where("length(_value) > 0")
-    ended = r"[.!?。！？][\"'”’»)\]}]*\s*$"
-    well = F.col("_value").rlike(ended) & ~F.col("_value").rlike(r"(\.\.|\d\.)\s*$|[(\[{“«„<][^)\]}”»>]*$|\x{FFFD}") & ~(F.col("_value").contains('"') | F.col("_value").contains("</"))
+    # a stop after a stop or a digit may be a mark of omission or a number's point
+    ended = r"(?<![.\d])[.!?。！？][\"'”’»)\]}]*\s*$"
+    v = F.col("_value")
+    well = v.rlike(ended) & ~v.contains('"') & ~v.rlike(DOUBTFUL) & ~(v.contains("\n") & v.rlike(FOOT))
     kinds = {f.name: f.dataType.simpleString() for f in values.schema}
     own = f"_key {kinds['_key']}, _source {kinds['_source']}, field string"
     seen = written(

@@ -2,7 +2,7 @@
 
 import random
 
-from quirework.llm import contamination, scans
+from quirework.llm import contamination, scans, truncation
 
 NOUNS = ["treatment", "response", "carcinoma", "membrane", "receptor", "antibody", "tissue", "margin", "volume", "protein"]
 
@@ -45,3 +45,13 @@ def test_leaks_joined_give_the_same_spans(spark):
     docs = docs.where("doc_id in (2, 4)").distinct()
     clean = [sorted(map(tuple, contamination.without_leaks(docs, items, max_grams=m).collect())) for m in (2_000_000, 0)]
     assert clean[0] == clean[1] == [(2, " ".join(w[:12])), (4, "x ")]
+
+
+def test_values_that_only_look_ended(spark):
+    whole = "The dose (in mg) was reduced [see there] for “all” patients."
+    cut = ["The response of the [...]", "The dose was reduced. [...] ", "The dose (as stated [here] and in all of it.", "Shown (in {one of [them]} only.", "The <b>dose was reduced.", "The tissue of the\n- 17 !"]
+    rows = [(k, "a", whole) for k in range(100, 160)] + [(k, "a", t) for k, t in enumerate(cut)]
+    df = spark.createDataFrame(rows, "id long, feed string, content string")
+    assert {x.id for x in truncation.truncated(df, "id", "feed", ["content"]).collect()} == set(range(len(cut)))
+    rates = truncation.truncation_rates(df, "id", "feed", ["content"]).first()
+    assert (rates.n_values, rates.n_cut) == (66, 6)
