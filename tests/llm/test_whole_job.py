@@ -2,7 +2,7 @@
 
 import random
 
-from quirework.llm import contamination, scans, truncation
+from quirework.llm import contamination, scans, split, truncation
 
 NOUNS = ["treatment", "response", "carcinoma", "membrane", "receptor", "antibody", "tissue", "margin", "volume", "protein"]
 
@@ -55,3 +55,15 @@ def test_values_that_only_look_ended(spark):
     assert {x.id for x in truncation.truncated(df, "id", "feed", ["content"]).collect()} == set(range(len(cut)))
     rates = truncation.truncation_rates(df, "id", "feed", ["content"]).first()
     assert (rates.n_values, rates.n_cut) == (66, 6)
+
+
+def test_pieces_repeat_words_from_many_ranges_back(spark):
+    words = ["a" * 30 if 100 <= k < 160 else f"w{k}" for k in range(400)]
+    df = spark.createDataFrame([(1, " ".join(words))], "id long, content string")
+    p = split.split_texts(df, "id", "content", max_words=50, overlap=20, range_chars=64).orderBy("piece_no").collect()
+    got = p[0].piece.split()
+    for x in p[1:]:
+        n = min(20, len(got))
+        assert x.piece.split()[:n] == got[-n:]
+        got += x.piece.split()[n:]
+    assert got == words
