@@ -90,24 +90,52 @@ def test_scans(spark):
     assert scans.Scans(df.limit(0), "id", ["content"]).found().count() == 0
 
 
-def brute_repeats(w):
-    out = np.zeros(len(w), int)
-    for n in range(1, len(w)):
-        seen = {}
+def brute_runs(w, sizes):
+    """Places in repeated runs of the least words and characters that can be made longer on neither side."""
+    out = np.zeros(len(w), bool)
+    for n in range(stuffing.RUN_WORDS, len(w)):
+        places = {}
         for i in range(len(w) - n + 1):
-            seen.setdefault(tuple(w[i : i + n]), []).append(i)
-        for places in seen.values():
-            if len(places) > 1:
-                for i in places:
-                    out[i : i + n] = np.maximum(out[i : i + n], n)
+            places.setdefault(tuple(w[i : i + n]), []).append(i)
+        for at in places.values():
+            around = [{w[k] if 0 <= k < len(w) else ("end", k) for k in ks} for ks in ([i - 1 for i in at], [i + n for i in at])]
+            if len(at) > 1 and all(len(x) > 1 for x in around):
+                for i in at:
+                    if sum(sizes[i : i + n]) >= stuffing.RUN_CHARS:
+                        out[i : i + n] = True
     return out
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_repeated_words(seed):
+@pytest.mark.parametrize("seed", range(8))
+def test_maximal_runs_against_brute_force(seed):
     r = random.Random(seed)
-    w = [r.randrange(4) for _ in range(40)]
-    assert ((stuffing.repeated_words(w) > 0) == (brute_repeats(w) > 0)).all()
+    pages = [[r.randrange(2 + seed) for _ in range(r.randint(0, 40))] for _ in range(6)]
+    sizes = [[1 + x % 4 for x in p] for p in pages]
+    flat, size = (np.array([x for p in y for x in p], np.int64) for y in (pages, sizes))
+    firsts = np.concatenate([[0], np.cumsum([len(p) for p in pages])[:-1]])
+    want = [x for p, z in zip(pages, sizes) for x in brute_runs(p, z)]
+    assert stuffing.covered(flat, size, firsts).tolist() == want
+
+
+def test_runs_and_not_words_decide(monkeypatch):
+    r = random.Random(6)
+    topics = ["tissue", "margin", "plasma", "imaging", "outcome", "receptor", "membrane", "volume"]
+    once = [f"{a}{b}" for a in ("cyto", "histo", "immuno", "radio", "neuro", "onco") for b in ("metry", "logy", "graphy", "genesis", "therapy", "plasty", "pathy", "scopy")]
+    # a title in many words that come again one by one, and a list of two keywords that come again together
+    title = " ".join(f"{r.choice(topics)} {x}" for x in once[:24])
+    stuffed = " ".join(f"{r.choice(['cheap tissue', 'tissue margin'])} {x}" for x in once[:12])
+    _, coverage, share = stuffing.profiles([title, stuffed])
+    assert coverage[0] < 0.05 and share[0] == 0 and coverage[1] > 0.4 and share[1] == 1
+
+    def words(symbols, sizes, firsts):
+        page = np.searchsorted(firsts, np.arange(len(symbols)), "right")
+        _, where, times = np.unique(page * (symbols.max() + 1) + symbols, return_inverse=True, return_counts=True)
+        return times[where] > 1
+
+    monkeypatch.setattr(stuffing, "covered", words)
+    assert stuffing.profiles([title])[2][0] == 1
+    monkeypatch.setattr(stuffing, "covered", lambda s, *_: np.zeros(len(s), bool))
+    assert stuffing.profiles([stuffed])[2][0] == 0
 
 
 def test_stuffed(spark):
