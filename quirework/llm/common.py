@@ -76,9 +76,42 @@ def maybe_in(df: DataFrame, key: Column, marks: DataFrame, bits: int = 1 << 22)
     )
 
 
+def bits_of(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    """A bitmap of 64-bit keys as bytes; bits is a power of two. At most bits / 32 rows of 8 bytes come to the driver."""
+    s = F.col(key).bitwiseAND(F.lit(bits - 1))
+    got = (
+        keys.where(F.col(key).isNotNull())
+        .select((s / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (s % 32).cast("int")).alias("m"))
+        .groupBy("w")
+        .agg(F.bit_or("m").alias("m"))
+    )
+    table = got.toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[table.column("w").to_numpy()] = table.column("m").to_numpy().astype(np.uint32)
+    return out
+
+
+def in_bits(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit keys the bitmap may have."""
+    s = h.astype(np.uint64) & np.uint64(len(bits) * 32 - 1)
+    return (bits[(s >> np.uint64(5)).astype(np.int64)] >> (s & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+
+
+def bits_for(n: int, each: int = 16, most: int = 1 << 28) -> int:
+    """Bits of a bitmap for n keys: a power of two, `each` for a key, at least 4096; at most `most` (32 MiB), beyond which
+    more other keys pass and none is lost."""
+    return min(most, 1 << max(12, (max(1, n) * each - 1).bit_length()))
+
+
+def lower_words(text: str) -> list[str]:
+    """The words of a text in lower case, one for each match of WORD in the text as it stands."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
 def flat_words(texts: list[str | None], pattern: re.Pattern = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All words of the texts in lower case: (codes of the words one after another, distinct words, number per text)."""
-    lists = [pattern.findall(t.lower()) if t else [] for t in texts]
+    lists = [(lower_words(t) if pattern is WORD else pattern.findall(t.lower())) if t else [] for t in texts]
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = np.empty(int(counts.sum()), object)
     at = 0

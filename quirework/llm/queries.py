@@ -126,4 +126,15 @@ SQL: dict[str, str] = {
         dg AS (SELECT doc_id, array_to_string(w[p : p + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
         ig AS (SELECT item_id, array_to_string(w[p : p + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS p FROM i))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    # a word goes if a shared run of 13 words covers it, what stands between two words if one run covers both
+    "p7_clean": r"""
+        WITH d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS parts FROM documents),
+        i AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+        g AS (SELECT DISTINCT array_to_string(w[p : p + 12], ' ') AS g FROM (SELECT w, unnest(range(1, len(w) - 11)) AS p FROM i)),
+        hit AS (SELECT doc_id, p FROM (SELECT doc_id, array_to_string(w[p : p + 12], ' ') AS g, p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)) JOIN g USING (g)),
+        e AS (SELECT doc_id, k, parts[k] AS part, regexp_matches(parts[k], '^[\p{L}\p{N}]') AS is_word FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM d WHERE doc_id IN (SELECT doc_id FROM hit))),
+        n AS (SELECT *, sum(CAST(is_word AS INT)) OVER (PARTITION BY doc_id ORDER BY k) AS no FROM e),
+        l AS (SELECT n.*, max(p) OVER (PARTITION BY n.doc_id ORDER BY k) AS last FROM n LEFT JOIN hit ON n.doc_id = hit.doc_id AND is_word AND p = no),
+        c AS (SELECT doc_id, coalesce(string_agg(part, '' ORDER BY k) FILTER (WHERE last IS NULL OR no + CAST(NOT is_word AS INT) - last > 12), '') AS text FROM l GROUP BY doc_id)
+        SELECT * FROM c UNION ALL SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c)""",
 }
