@@ -43,15 +43,23 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def longest(encoding) -> int:
+    """Bytes of the longest token."""
+    if not hasattr(encoding, "longest_token"):
+        encoding.longest_token = max(map(len, encoding.token_byte_values()))
+    return encoding.longest_token
+
+
 def divided(text: str, capacity: int, encoding) -> list[tuple[int, int, int]]:
     """(start, stop, tokens) of the text, or of its pieces if it exceeds the capacity.
 
     A piece ends before a space or line break where there is one in its second half, so that its tokens are the same
     when it is encoded for itself; it is encoded again to make sure of its size.
     """
-    total = len(encoding.encode_ordinary(text))
-    if total <= capacity:
-        return [(0, len(text), total)]
+    if len(text) <= capacity * longest(encoding):  # else it can't fit, so a giant text is never encoded as a whole
+        total = len(encoding.encode_ordinary(text))
+        if total <= capacity:
+            return [(0, len(text), total)]
     out, at = [], 0
     while at < len(text):
         size = capacity * 8  # characters, more than enough as a first guess; halved until it fits
@@ -87,28 +95,46 @@ def _sizes(batches: Iterator[pd.DataFrame], capacity: int, path: str) -> Iterato
 def bucket_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
     """Upper bounds of at most `buckets` buckets that minimise the padding of all sizes to their bucket's bound.
 
-    Dynamic programming over the sorted sizes; cost of a bucket by prefix sums, each row of the table vectorised.
+    Dynamic programming over the sorted sizes, with the cost of a bucket by prefix sums. The best place of the bound
+    before rises with the size, so each row of the table is found by divide and conquer, a level at a time:
+    buckets x sizes x log(sizes) steps, all of them in arrays.
     """
     sizes = np.array(sorted(histogram), np.int64)
     n = len(sizes)
     if n <= buckets:
         return sizes.tolist()
-    count = np.concatenate([[0], np.cumsum([histogram[int(s)] for s in sizes])]).astype(float)
-    tokens = np.concatenate([[0], np.cumsum([histogram[int(s)] * int(s) for s in sizes])]).astype(float)
+    count = np.concatenate([[0], np.cumsum([histogram[int(s)] for s in sizes])]).astype(np.int64)
+    tokens = np.concatenate([[0], np.cumsum([histogram[int(s)] * int(s) for s in sizes])]).astype(np.int64)
+    levels, ranges = [], [(1, n - 1)]  # of each level the middles, and the places whose result bounds theirs
+    while ranges:
+        levels.append(tuple(np.array(x) for x in zip(*(((a + b) // 2, a - 1, b + 1) for a, b in ranges))))
+        ranges = [r for a, b in ranges for r in ((a, (a + b) // 2 - 1), ((a + b) // 2 + 1, b)) if r[0] <= r[1]]
     best = sizes * count[1:] - tokens[1:]  # one bucket for the first j + 1 sizes
-    back = np.zeros((buckets, n), np.int64)
+    back = np.zeros((buckets, n), np.int32)
     for k in range(1, buckets):
-        new = best.copy()
-        for j in range(k, n):
-            i = np.arange(k - 1, j)  # the bucket before ends with size i
-            cost = best[i] + sizes[j] * (count[j + 1] - count[i + 1]) - (tokens[j + 1] - tokens[i + 1])
-            m = int(cost.argmin())
-            if cost[m] < new[j]:
-                new[j], back[k, j] = cost[m], i[m] + 1
+        at = np.zeros(n + 1, np.int64)  # where the bucket before ends, for each size
+        at[n] = n - 2
+        new, line = best.copy(), best + tokens[1:]
+        for j, low, high in levels:
+            first, last = at[low], np.minimum(at[high], j - 1)
+            width = last - first + 1
+            starts = np.cumsum(width) - width
+            i = np.arange(int(width.sum())) - np.repeat(starts - first, width)
+            cost = line[i] - np.repeat(sizes[j], width) * count[i + 1]
+            least = np.minimum.reduceat(cost, starts)
+            hits = np.flatnonzero(cost == np.repeat(least, width))
+            at[j] = i[hits[np.searchsorted(hits, starts)]]
+            total = least + sizes[j] * count[j + 1] - tokens[j + 1]
+            better = total < new[j]
+            new[j[better]], back[k, j[better]] = total[better], at[j[better]] + 1
         best = new
     bounds, j = [], n - 1
     for k in range(buckets - 1, -1, -1):
         bounds.append(int(sizes[j]))
+        if back[k, j] == 0 and k:
+            # as good with fewer buckets
+            bounds.pop()
+            continue
         j = int(back[k, j]) - 1
         if j < 0:
             break
@@ -145,34 +171,17 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
     return out
 
 
-def packed(df: DataFrame, key: str, text: str, capacity: int = 2048, buckets: int = 256, path: str = TOKENIZER, parts: int | None = None) -> DataFrame:
-    """key, piece_no, start, stop, n_tokens, container: where each text, or piece of an oversized text, goes.
-
-    start and stop are the piece's code points. No container holds more than `capacity` tokens. Null texts give no
-    rows; empty ones have no tokens and a place in a container. Repeated rows are each placed; a null key is a key.
-    An empty table gives no rows. parts: salted parts of a bucket, by default as many as shuffle partitions.
-    """
-    spark = df.sparkSession
-    if parts is None:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _sized(df: DataFrame, key: str, text: str, capacity: int, path: str) -> tuple[DataFrame, dict[int, int]]:
+    """The table of pieces and sizes, and the histogram of sizes: at most `capacity` rows."""
     t = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text is not null")
     sized = written(t.mapInPandas(lambda it: _sizes(it, capacity, path), f"_key {dict(t.dtypes)['_key']}, piece_no bigint, start bigint, stop bigint, n_tokens bigint"), "sizes")
-    histogram = {r[0]: r[1] for r in sized.groupBy(F.greatest("n_tokens", F.lit(1)).alias("n")).count().collect()}  # at most `capacity` rows
-    bounds = bucket_bounds(histogram, buckets)
-    if not bounds:
-        return sized.select(F.col("_key").alias(key), "piece_no", "start", "stop", "n_tokens", F.lit(0).cast("long").alias("container"))
-    counts = dict.fromkeys(bounds, 0)
-    for n, c in histogram.items():
-        counts[bounds[bisect.bisect_left(bounds, n)]] += c
-    slots, base = [], 0  # (bucket, first rank, items in each container, first container)
-    used = dict.fromkeys(bounds, 0)
-    for pattern, times in plan(counts, capacity):
-        for b, c in pattern.items():
-            slots.append((b, used[b], c, base))
-            used[b] += c * times
-        base += times
-    table = spark.createDataFrame(slots, "bucket bigint, first bigint, each bigint, base bigint")
+    return sized, {r[0]: r[1] for r in sized.groupBy(F.greatest("n_tokens", F.lit(1)).alias("n")).count().collect()}
+
 
+def _placed(sized: DataFrame, bounds: list[int], slots: list[tuple[int, int, int, int]]) -> DataFrame:
+    """sized with bucket (its bound) and container. slots: (bucket, first rank, items in each container, first container)."""
+    spark = sized.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # salted parts of a bucket
     # rank within the bucket: rows of the parts before, then the place within the part
     cut = F.array(*(F.lit(b) for b in bounds))
     x = sized.withColumn("bucket", F.element_at(cut, (F.size(F.filter(cut, lambda b: b < F.col("n_tokens"))) + 1).cast("int")).cast("long"))
@@ -181,22 +190,50 @@ def packed(df: DataFrame, key: str, text: str, capacity: int = 2048, buckets: in
     x = x.withColumn("place", F.row_number().over(W.partitionBy("bucket", "part").orderBy("_key", "piece_no", "start")) - 1)
     x = x.join(before, ["bucket", "part"]).withColumn("rank", F.col("skip") + F.col("place"))
     # the slot with the greatest first rank not after the item's: slots of a bucket are a sorted array, few and small
-    by = table.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("first", "each", "base"))).alias("slots"))
+    by = spark.createDataFrame(slots, "bucket bigint, first bigint, each bigint, base bigint").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("first", "each", "base"))).alias("slots"))
     x = x.join(F.broadcast(by), "bucket")  # as many rows as buckets
-    s = F.element_at(F.filter("slots", lambda s: s["first"] <= F.col("rank")), -1)
-    x = x.withColumn("s", s).withColumn("container", F.col("s.base") + F.floor((F.col("rank") - F.col("s.first")) / F.col("s.each")))
-    return x.select(F.col("_key").alias(key), "piece_no", "start", "stop", "n_tokens", F.col("container").cast("long").alias("container"))
+    x = x.withColumn("s", F.element_at(F.filter("slots", lambda s: s["first"] <= F.col("rank")), -1))
+    return x.withColumn("container", (F.col("s.base") + F.floor((F.col("rank") - F.col("s.first")) / F.col("s.each"))).cast("long"))
+
+
+def _counts(histogram: dict[int, int], bounds: list[int]) -> dict[int, int]:
+    counts = dict.fromkeys(bounds, 0)
+    for n, c in histogram.items():
+        counts[bounds[bisect.bisect_left(bounds, n)]] += c
+    return counts
+
+
+def packed(df: DataFrame, key: str, text: str, capacity: int = 2048, buckets: int = 256, path: str = TOKENIZER) -> DataFrame:
+    """key, piece_no, start, stop, n_tokens, container: where each text, or piece of an oversized text, goes.
+
+    start and stop are the piece's code points. No container holds more than `capacity` tokens. Null texts give no
+    rows; empty ones have no tokens and a place in a container. Repeated rows are each placed; a null key is a key.
+    An empty table gives no rows.
+    """
+    sized, histogram = _sized(df, key, text, capacity, path)
+    bounds = bucket_bounds(histogram, buckets)
+    own = [F.col("_key").alias(key), "piece_no", "start", "stop", "n_tokens"]
+    if not bounds:
+        return sized.select(*own, F.lit(0).cast("long").alias("container"))
+    slots, base, used = [], 0, dict.fromkeys(bounds, 0)
+    for pattern, times in plan(_counts(histogram, bounds), capacity):
+        for b, c in pattern.items():
+            slots.append((b, used[b], c, base))
+            used[b] += c * times
+        base += times
+    return _placed(sized, bounds, slots).select(*own, "container")
 
 
 def bucket_batches(df: DataFrame, key: str, text: str, capacity: int = 2048, buckets: int = 256, path: str = TOKENIZER) -> DataFrame:
-    """bound, n_items, n_containers, tokens of batches that stay inside their bucket: what packed() is measured against."""
-    t = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text is not null")
-    sized = t.mapInPandas(lambda it: _sizes(it, capacity, path), f"_key {dict(t.dtypes)['_key']}, piece_no bigint, start bigint, stop bigint, n_tokens bigint")
-    histogram = {r[0]: r[1] for r in sized.groupBy(F.greatest("n_tokens", F.lit(1)).alias("n")).count().collect()}
-    rows, low = [], 0
-    for b in bucket_bounds(histogram, buckets):
-        own = {n: c for n, c in histogram.items() if low < n <= b}
-        items = sum(own.values())
-        rows.append((b, items, -(-items // (capacity // b)), sum(n * c for n, c in own.items())))
-        low = b
-    return df.sparkSession.createDataFrame(rows, "bound bigint, n_items bigint, n_containers bigint, tokens bigint")
+    """packed() with batches that stay inside their length bucket, and `bound`, the bucket's upper bound: every text of a
+    container has at most that many tokens, so that little is padded; more room stays unused than in packed()."""
+    sized, histogram = _sized(df, key, text, capacity, path)
+    bounds = bucket_bounds(histogram, buckets)
+    own = [F.col("_key").alias(key), "piece_no", "start", "stop", "n_tokens"]
+    if not bounds:
+        return sized.select(*own, F.lit(0).cast("long").alias("bound"), F.lit(0).cast("long").alias("container"))
+    slots, base = [], 0
+    for b, c in _counts(histogram, bounds).items():
+        slots.append((b, 0, capacity // b, base))
+        base -= -c // (capacity // b)
+    return _placed(sized, bounds, slots).select(*own, F.col("bucket").alias("bound"), "container")

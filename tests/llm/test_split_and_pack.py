@@ -1,7 +1,9 @@
 """Problems 3 and 6: round trips, rules and edge cases."""
 
+import bisect
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -85,6 +87,29 @@ def test_bucket_bounds_are_optimal():
     assert packing.bucket_bounds({}, 3) == []
 
 
+def padding(h, bounds):
+    return sum(c * (bounds[bisect.bisect_left(bounds, s)] - s) for s, c in h.items())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bucket_bounds_against_the_whole_table(seed):
+    r = random.Random(seed)
+    h = {s: r.randint(1, 50) for s in r.sample(range(1, 400), r.randint(2, 90))}
+    sizes, k = sorted(h), r.randint(1, 20)
+    best = [padding({s: h[s] for s in sizes[: j + 1]}, [sizes[j]]) for j in range(len(sizes))]
+    for _ in range(k - 1):
+        best = [min([best[j], *(best[i] + padding({s: h[s] for s in sizes[i + 1 : j + 1]}, [sizes[j]]) for i in range(j))]) for j in range(len(sizes))]
+    got = packing.bucket_bounds(h, k)
+    assert len(got) <= k and got[-1] == sizes[-1] and padding(h, got) == best[-1]
+
+
+def test_bucket_bounds_of_many_sizes():
+    r = random.Random(1)
+    began = time.time()
+    got = packing.bucket_bounds({s: r.randint(1, 10**6) for s in range(1, 2049)}, 256)
+    assert len(got) == 256 and time.time() - began < 5
+
+
 def test_plan_places_everything():
     counts = {1: 100, 300: 17, 700: 9, 1100: 5, 2048: 2}
     placed = Counter()
@@ -118,5 +143,8 @@ def test_packed(spark):
         assert all(len(enc.encode_ordinary(t[x.start : x.stop])) == x.n_tokens <= 2048 for x in p)
     assert all(len(v) == 1 for k, v in by.items() if k in range(2, 300))
     assert packing.packed(df.limit(0), "id", "t").count() == 0
-    alone = packing.bucket_batches(df, "id", "t", 2048, 64).agg(F.sum("n_containers")).first()[0]
-    assert alone >= len(load)
+    alone = packing.bucket_batches(df, "id", "t", 2048, 64)
+    by = alone.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.countDistinct("bound").alias("bounds"), F.max(F.col("n_tokens") - F.col("bound")).alias("over")).collect()
+    assert alone.count() == len(out) and len(by) >= len(load) and {x.container for x in by} == set(range(len(by)))
+    assert all(x.n <= 2048 and x.bounds == 1 and x.over <= 0 for x in by)
+    assert packing.bucket_batches(df.limit(0), "id", "t").count() == 0
