@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.entities import name2codepoint
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import NUMBER, PAGE, mix, written
+from quirework.llm.common import NUMBER, PAGE, bits_for, bits_of, in_bits, mix, written
 from quirework.llm.confusable import skeleton
 
 OMISSION = re.compile(r"(?:\s|…|\.{3,}|\[(?:…|\.{3,})\])+$")
@@ -24,7 +25,11 @@ OMISSION = re.compile(r"(?:\s|…|\.{3,}|\[(?:…|\.{3,})\])+$")
 ENDED = re.compile(r"[.!?。！？][\"'”’»)\]}]*$")
 OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
 DELIMITERS = re.compile(r"[()\[\]{}“”«»„\"]|</?[A-Za-z][^<>]*>|<(?:/?[A-Za-z][^<>]*)?$|[.!?](?=\s+[^\W\d_a-z])|\n\s*\n")
-DANGLING = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|&#?[A-Za-z0-9]{0,8}|(?<=%[0-9A-Fa-f]{2})%[0-9A-Fa-f]?|�+|[\ud800-\udbff])$")
+DANGLING = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|&(?:#x?[0-9A-Fa-f]{0,6}|[A-Za-z0-9]{2,8})|(?<=%[0-9A-Fa-f]{2})%[0-9A-Fa-f]?|�+|[\ud800-\udbff])$")
+#: What an escape of a named character may be cut to; one letter after & is rather an abbreviation (R&D).
+NAMED = {name[:k] for name in name2codepoint for k in range(2, len(name) + 1)}
+OPENERS = "([{“«„\"<"
+CLOSERS = ")]}”»\"'’"
 _ANY = r"[^()\[\]{}“”«»„]*"
 #: What needs a look at a value that ends well: broken bytes, markup, and an opening delimiter whose next delimiter
 #: isn't its own closing one (Java's syntax; one class first, so that other characters are passed over quickly).
@@ -47,8 +52,10 @@ def left_open(text: str) -> str | None:
     Brackets and quotes are forgotten at a sentence end before a capital and at a blank line, so that one odd bracket
     in a long text is no proof; markup elements are kept on the stack to the end.
     """
-    if m := DANGLING.search(text):
+    if (m := DANGLING.search(text)) and not (m[0][0] == "&" and m[0][1:2] != "#" and m[0][1:] not in NAMED):
         return "bytes" if "�" in m[0] or m[0] >= "\ud800" else "escape"
+    if not any(c in text for c in OPENERS):
+        return None
     stack: list[str] = []
     for m in DELIMITERS.finditer(text):
         s = m[0]
@@ -88,59 +95,80 @@ def _class(token: str, ending: int = 3) -> str:
 
 
 def _hashes(tokens: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the tokens by each way of telling them apart."""
-    of = lambda f: pd.util.hash_array(np.array([f(t) for t in tokens], object), categorize=False)
+    """Hashes of the tokens by each way of telling them apart; never 0, which stands for no token."""
+    of = lambda f: pd.util.hash_array(np.array([f(t) for t in tokens], object), categorize=False) | np.uint64(1)
     return [of(_literal), of(_class), of(lambda t: _class(t, 0))] if len(tokens) else [np.empty(0, np.uint64)] * 3
 
 
-def _context(hashes: list[np.ndarray], n: int, way: int) -> np.ndarray:
-    """Hashes of the n tokens that end at each place; at the first n - 1 places of fewer."""
-    h = hashes[way]
+def _contexts(before: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Hashes of each of CONTEXTS. before: for each way the hashes of the last tokens, the nearest first; 0 for none."""
+    done: dict[tuple[int, int], np.ndarray] = {}
     with np.errstate(over="ignore"):
-        out = np.full(len(h), np.uint64(8 * n + way), np.uint64)
-        for k in range(n - 1, -1, -1):
-            part = h if k == 0 else np.concatenate([np.zeros(min(k, len(h)), np.uint64), h[:-k]])
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + part)
-    return out
+        for way, parts in enumerate(before):
+            out = np.full(len(parts[0]), np.uint64(way + 1), np.uint64)
+            for n, part in enumerate(parts, 1):
+                out = mix(out * np.uint64(0x9E3779B97F4A7C15) + part)
+                done[n, way] = out + np.uint64(n)
+    return [done[c] for c in CONTEXTS]
+
+
+#: Of each way, the tokens its longest context has.
+LONGEST = [max(n for n, way in CONTEXTS if way == w) for w in range(3)]
+
+
+def _last_tokens(body: str) -> list[str]:
+    """The last tokens of a value, as many as a context may have, two more and a broken word; read from as far back as they lie."""
+    size = 200
+    while True:
+        tail = BROKEN.sub("", body[-size:])
+        tokens = TOKEN.findall(tail[tail.find(" ") + 1 :] if len(body) > size else tail)
+        if len(tokens) > max(LONGEST) + 1 or size >= len(body):
+            return tokens[-max(LONGEST) - 2 :]
+        size *= 4
 
 
 def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for d in batches:
-        rows = []
+        rows, ends = [], []
         for value in d.pop("_value"):
-            body = OMISSION.sub("", value)
+            body = OMISSION.sub("", value) if value[-1] in " \t\r\n\f\v…]." or value[-1].isspace() else value
             if "\n" in body and PAGE.match(line := body.rsplit("\n", 1)[1]) and not NUMBER.match(line):
                 value = body = OMISSION.sub("", body.rsplit("\n", 1)[0])  # a page number stands after the text
             omitted = bool(body) and value[len(body) :].strip() != ""
             proof = left_open(body) if body else None
-            tail = BROKEN.sub("", body[-400:])
-            tokens = TOKEN.findall(tail[tail.find(" ") + 1 :] if len(body) > 400 else tail)
-            last = tokens[-1] if tokens else ""
+            tokens = _last_tokens(body)
             if not body:
                 verdict, proof = "complete", "blank"
             elif proof:
-                verdict = "cut"
+                verdict = "open" if proof == "escape" and "&" in body[-10:] else "cut"
             elif ENDED.search(body) and not (len(tokens) > 1 and tokens[-1] == "." and tokens[-2].isdigit()):
                 verdict, proof = ("complete", "terminator") if not omitted else ("open", "omission")
-            elif body[-1] in ")]}”»\"'’":
-                verdict, proof = "complete", "closed"
+            elif body[-1] in CLOSERS:
+                verdict, proof = "open", "omission" if omitted else "closed"
             elif re.search(r"[^\W_]%?$|\.$", body) is None:
                 verdict, proof = "cut", "punctuation"
             else:
                 verdict, proof = "open", "omission" if omitted else "terminator missing"
-            if last == "." and len(tokens) > 1:
+            if len(tokens) > 1 and tokens[-1] == ".":
                 tokens = tokens[:-1]
-            hashes = _hashes(np.array(tokens, object))
-            ctx = [int(_context(hashes, n, way)[-1].astype(np.int64)) for n, way in CONTEXTS] if tokens else []
-            line = re.sub(r"\d", "0", body.rsplit("\n", 1)[1]).strip() if "\n" in body else ""
-            number = bool(tokens) and tokens[-1].rstrip("%").replace(".", "").isdigit()
-            rows.append((verdict, proof, omitted, len(value), ctx, line if 0 < len(line) < 60 else None, number))
-        yield d.assign(**dict(zip(["verdict", "proof", "omitted", "n_chars", "ctx", "line", "number"], zip(*rows)))) if rows else pd.DataFrame()
+            ends.append(tokens)
+            line = re.sub(r"\d", "0", body.rsplit("\n", 1)[-1]).strip() if "\n" in body or proof == "closed" else ""
+            # 1: a last word of one or two letters; 2: a capital, which stands for something (R&D, group A)
+            brief = 0 if not tokens or len(tokens[-1]) > 2 or not tokens[-1].isalpha() else 1 + (len(tokens[-1]) == 1 and tokens[-1].isupper())
+            rows.append((verdict, proof, omitted, len(value), line if 0 < len(line) < 60 else None, brief))
+        if not rows:
+            yield pd.DataFrame()
+            continue
+        last = [[x[-k] if len(x) >= k else "" for x in ends] for k in range(1, max(LONGEST) + 1)]
+        codes, distinct = pd.factorize(np.array([t for x in last for t in x], object))
+        none = distinct == ""
+        hashes = [np.where(none, np.uint64(0), h)[codes].reshape(len(last), -1) for h in _hashes(np.array([t or "_" for t in distinct], object))]
+        ctx = np.stack(_contexts([list(h[:n]) for h, n in zip(hashes, LONGEST)]), axis=1).view(np.int64)
+        out = d.assign(**dict(zip(["verdict", "proof", "omitted", "n_chars", "line", "brief"], zip(*rows))))
+        yield out.assign(ctx=[c if x else c[:0] for c, x in zip(ctx, ends)])
 
 
 def _count(batches: Iterator[pd.DataFrame], marks) -> Iterator[pd.DataFrame]:
-    bits = marks.value
-    size = np.uint64(len(bits) * 8 - 1)
     for d in batches:
         lists = [TOKEN.findall(t) for t in d["_value"]]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -154,25 +182,24 @@ def _count(batches: Iterator[pd.DataFrame], marks) -> Iterator[pd.DataFrame]:
         codes, distinct = pd.factorize(flat)
         hashes = _hashes(distinct)
         stop = np.fromiter((t[0] in ".!?;" for t in distinct), bool, len(distinct))[codes]
-        word = np.fromiter((t[0].isalnum() for t in distinct), bool, len(distinct))[codes]
-        hashes = [h[codes] for h in hashes]
+        word = np.fromiter((t[0].isalnum() or t in CLOSERS for t in distinct), bool, len(distinct))[codes]
         last = np.zeros(at, bool)
         last[np.cumsum(counts)[counts > 0] - 1] = True
         ended = np.concatenate([stop[1:], [False]]) & ~last
-        use = word & ~last  # what follows the last token of an unterminated value is unknown
-        out = []
-        for n, way in CONTEXTS:
-            h = _context(hashes, n, way)[use]
-            s = h & size
-            known = (bits[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        use = np.flatnonzero(word & ~last)  # what follows the last token of an unterminated value is unknown
+        # tokens before a value's first one are none
+        place = use - np.repeat(np.cumsum(counts) - counts, counts)[use]
+        before = [[np.where(place >= k, h[codes[np.maximum(use - k, 0)]], np.uint64(0)) for k in range(n)] for h, n in zip(hashes, LONGEST)]
+        done, out = ended[use].astype(np.int64), []
+        for h in _contexts(before):
+            known = in_bits(h, marks.value)
             if known.any():
-                g = pd.DataFrame({"h": h[known].view(np.int64), "ended": ended[use][known].astype(np.int64), "n": 1}).groupby("h", sort=False).sum().reset_index()
-                out.append(g)
+                out.append(pd.DataFrame({"h": h[known].view(np.int64), "ended": done[known], "n": 1}).groupby("h", sort=False).sum().reset_index())
         if out:
             yield pd.concat(out)
 
 
-def judged(df: DataFrame, key: str, source: str, fields: list[str], bits: int = 1 << 24, support: int = 5) -> DataFrame:
+def judged(df: DataFrame, key: str, source: str, fields: list[str], support: int = 5) -> DataFrame:
     """The suspects among the fields' values: key, source, field, verdict (cut or complete), proof, p_end.
 
     A value that is null or blank is none; so is one with a terminator and nothing open. Repeated rows are repeated in
@@ -190,17 +217,14 @@ def judged(df: DataFrame, key: str, source: str, fields: list[str], bits: int =
     kinds = {f.name: f.dataType.simpleString() for f in values.schema}
     own = f"_key {kinds['_key']}, _source {kinds['_source']}, field string"
     seen = written(
-        values.where(~well).mapInPandas(_suspects, f"{own}, verdict string, proof string, omitted boolean, n_chars bigint, ctx array<bigint>, line string, number boolean"),
+        values.where(~well).mapInPandas(_suspects, f"{own}, verdict string, proof string, omitted boolean, n_chars bigint, line string, brief int, ctx array<bigint>"),
         "suspects",
     )
     open_ = seen.where("verdict = 'open'")
     asked = open_.select(F.explode("ctx").alias("h"))
-    slot = F.col("h").bitwiseAND(F.lit(bits - 1))
-    words = asked.select((slot / 8).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-    marks = np.zeros(bits // 8, np.uint8)
-    got = words.toPandas()  # at most bits / 8 rows, whatever the number of suspects
-    marks[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.uint8)
-    shared = spark.sparkContext.broadcast(marks)
+    # a bitmap sized by the suspects' contexts; where they are very many, more of the corpus's contexts pass it, which are
+    # summed up before they are shuffled
+    shared = spark.sparkContext.broadcast(bits_of(asked, "h", bits_for(len(CONTEXTS) * open_.count())))
     counts = values.select("_value").mapInPandas(lambda it: _count(it, shared), "h bigint, ended bigint, n bigint").groupBy("h").agg(F.sum("ended").alias("ended"), F.sum("n").alias("n"))
 
     # how often a suspect's last line is a whole line of its own: list entries, counts, identifiers
@@ -208,31 +232,39 @@ def judged(df: DataFrame, key: str, source: str, fields: list[str], bits: int =
     lines = open_.where("line is not null").groupBy("line").agg(F.count("*").alias("_same"))
 
     o = open_.withColumn("_id", F.xxhash64("_key", "_source", "field", "n_chars", "ctx"))
-    each = o.select("_id", F.posexplode("ctx").alias("place", "h")).distinct()
+    each = o.select("_id", "brief", F.posexplode("ctx").alias("place", "h")).distinct()
+    alone = F.col("place") == len(CONTEXTS) - 1
     best = (
         each.join(counts, "h", "left")
         .na.fill(0, ["ended", "n"])
         .groupBy("_id")
         .agg(
             F.min(F.when(F.col("n") >= support, F.struct("place", "ended", "n"))).alias("b"),
-            F.max(F.when(F.col("place") == len(CONTEXTS) - 1, F.col("n"))).alias("known"),
+            F.max(F.when(alone, F.col("n"))).alias("known"),
+            F.first("brief").alias("brief"),
         )
-        .select("_id", ((F.col("b.ended") + 0.02) / (F.col("b.n") + 1.0)).alias("p_end"), "known")
+        .withColumn("p_end", (F.col("b.ended") + 0.02) / (F.col("b.n") + 1.0))
+        .withColumn("alone", (F.col("b.place") == len(CONTEXTS) - 1) & (F.col("brief") > 0))
+        # one or two letters alone are no sign of an end: they may be the beginning of any word; a capital alone is none at all
+        .select("_id", F.when(F.col("alone"), F.when(F.col("brief") == 1, F.least("p_end", F.lit(0.02)))).otherwise(F.col("p_end")).alias("p_end"), "known")
     )
     o = o.join(best, "_id", "left").join(lines, "line", "left").join(n_values, "field")
     o = o.withColumn("_whole_line", F.coalesce(F.col("_same") >= F.greatest(F.lit(3.0), F.col("_values") * 1e-4), F.lit(False)))
-    certain = F.when(F.col("_whole_line") & ~F.col("omitted"), "complete").when(F.col("omitted") | (F.coalesce("known", F.lit(0)) == 0), "cut")
+    certain = F.when(F.col("_whole_line") & ~F.col("omitted"), "complete").when((F.col("proof") == "closed") & (F.coalesce("known", F.lit(0)) == 0), "complete").when(F.col("omitted") | (F.coalesce("known", F.lit(0)) == 0) & (F.col("brief") < 2), "cut")
     o = o.withColumn("_sure", certain).withColumn("_p", F.coalesce("p_end", F.lit(0.02)))
     # the source's baseline: cut and complete among its open values, first guessed, then by the odds they give; summed
     # up before it is joined to the source's values, since one source may have most of them
     sure = F.when(F.col("_sure") == "cut", 1.0).when(F.col("_sure") == "complete", 0.0)
-    guess = F.coalesce(sure, F.when(F.col("_p") < 0.1, 0.9).otherwise(0.2))
+    # complete phrases often end just behind a bracket or quote or with a capital (group A, R&D), where a cut seldom falls
+    phrase = (F.col("proof") == "closed") | (F.col("brief") == 2)
+    guess = F.coalesce(sure, F.when((F.col("_p") < 0.1) & ~phrase, 0.9).otherwise(0.2))
     o = written(o, "open")
     for _ in range(2):
         o = o.withColumn("_g", guess)
         base = o.groupBy(F.col("_source").alias("_s"), F.col("field").alias("_f")).agg((F.sum("_g") + 0.5).alias("_cut"), (F.sum(F.when(F.col("_sure").isNull(), 1 - F.col("_g")).otherwise(0)) + 0.5).alias("_done"))
         o = o.drop("_cut", "_done").join(base, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("field") == F.col("_f"))).drop("_s", "_f")
-        odds = F.col("_cut") / F.col("_done") / 12.0 / F.col("_p")  # a sentence has about 12 words
+        # a sentence has about 12 words
+        odds = F.col("_cut") / F.col("_done") / 12.0 / F.col("_p") * F.when(phrase, 0.1).otherwise(1.0)
         guess = F.coalesce(sure, odds / (1 + odds))
     o = o.withColumn("verdict", F.when(guess > 0.5, "cut").otherwise("complete"))
     rest = seen.where("verdict <> 'open'").withColumn("p_end", F.lit(None).cast("double"))

@@ -23,6 +23,9 @@ def test_left_open():
     assert truncation.left_open("fish &am") == "escape" and truncation.left_open("line\\u00") == "escape"
     assert truncation.left_open("(odd. The next sentence ends") is None
     assert truncation.left_open("all (well) “here”. <i>x</i>") is None
+    for text in ("Budget for R&D", "Costs of Q&A", "Calls by AT&T", "Smith &Co"):
+        assert truncation.left_open(text) is None
+    assert truncation.left_open("a &#12") == "escape" and truncation.left_open("R&am") == "escape"
 
 
 def test_truncation_accuracy(spark):
@@ -45,6 +48,24 @@ def test_truncation_accuracy(spark):
     assert truncation.truncated(df.limit(0), "id", "feed", ["content"]).count() == 0
 
 
+def test_endings_that_are_weighed(spark):
+    r = random.Random(3)
+    text = lambda n: " ".join(sentence(r) for _ in range(n))
+    rows = [(k, "good", f"{text(2)} The {r.choice(NOUNS)} was seen in {'group (B)' if k % 3 else '(B) and after'}.", r.choice(["Budget for R&D", "Costs of Q&A", "Calls by AT&T", f"Response of the {r.choice(NOUNS)} (A)", "Panel [b]"])) for k in range(300)]
+    # an intake that cuts, sometimes just behind a bracket
+    cut = [f"{text(2)} The {r.choice(NOUNS)} (B) of" if k % 2 else f"{text(2)} The {r.choice(NOUNS)} of the {r.choice(NOUNS)[:1 + k % 3]}" for k in range(200)]
+    rows += [(1000 + k, "bad", t, None) for k, t in enumerate(cut)]
+    df = spark.createDataFrame(rows, "id long, feed string, content string, caption string")
+    got = {(x.id, x.field) for x in truncation.truncated(df, "id", "feed", ["content", "caption"]).collect()}
+    assert got == {(1000 + k, "content") for k in range(200)}
+
+
+def test_last_tokens_go_back_as_far_as_they_lie():
+    long = " ".join(["x" * 150] * 9)
+    assert truncation._last_tokens(long) == ["x" * 150] * 8
+    assert truncation._last_tokens("a b") == ["a", "b"] and truncation._last_tokens("") == []
+
+
 def test_confusables():
     assert confusable.misreadings("rnodern", "modern") == 1 and confusable.misreadings("cydes", "cycles") == 1 and confusable.misreadings("imagmg", "imaging") == 1
     assert confusable.misreadings("and", "alter") is None and confusable.misreadings("cat", "dog") is None
