@@ -52,6 +52,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(spark.read.parquet(f"{d}/chunks.parquet"), "row_id", "content").drop("text_hash")
 
 
+def p3_file_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All contents as large text files, cut by ranges of bytes."""
+    from quirework.llm.common import scratch
+    from quirework.llm.split import split_files
+
+    at = scratch(spark, "texts")
+    spark.read.parquet(f"{d}/chunks.parquet").select("content").where("content is not null").write.option("lineSep", "\n\n").text(at)
+    return split_files(spark, [at]).drop("path")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.names import entity_pairs
 
@@ -115,7 +125,7 @@ def p8_profiles(spark: SparkSession, d: str) -> DataFrame:
     return page_profiles(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_containers, p6_bucket_batches, p7_found, p7_clean, p8_found, p8_profiles)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_repaired, p3_found, p3_pieces, p3_file_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_containers, p6_bucket_batches, p7_found, p7_clean, p8_found, p8_profiles)}
 
 SQL: dict[str, str] = {
     "p3_found": r"""

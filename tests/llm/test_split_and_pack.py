@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.llm import packing, split
+from quirework.llm.common import written
 
 WORDS = re.compile(r"[^ \t\r\n]+")
 
@@ -66,6 +67,32 @@ def test_long_words_over_ranges(spark):
     assert rejoined([r.piece for r in p], 100) == WORDS.findall(text)
 
 
+def test_words_over_many_ranges(spark):
+    text = " ".join(["x" * 90000, *["w"] * 50, "y" * 70000, *["v"] * 3000, " " * 20000, "z"])
+    df = spark.createDataFrame([(1, text, "a"), (1, text, "b"), (None, text, "c"), (2, text[1:], "d")], "id long, t string, _row string")
+    p = sorted(split.split_texts(df, "id", "t", 1000, 100, 4000).collect(), key=lambda r: (str(r.id), r.piece_no))
+    for key, t in ((1, text), (None, text), (2, text[1:])):
+        own = [r for r in p if r.id == key]
+        assert [r.piece_no for r in own] == list(range(len(own))) and rejoined([r.piece for r in own], 100) == WORDS.findall(t)
+        assert all(t[r.start : r.stop] == r.piece for r in own)
+    assert {r.id for r in split.oversized(df, "id", "t", range_chars=4000).collect()} == {1, None, 2}
+
+
+def test_windows_see_no_boundary_tables(spark):
+    longs = "array<bigint>"
+    schema = f"_row bigint, _range int, _ranges int, _size bigint, _origin bigint, _n bigint, _s array<int>, _l array<int>, _k array<tinyint>, _ts {longs}, _te {longs}, _tk array<tinyint>, _gap bigint, _goes_on boolean"
+    plan = split._with_ends(written(spark.createDataFrame([], schema), "t"), 1000, 100)._jdf.queryExecution().optimizedPlan()
+
+    def below(node):
+        yield node
+        for k in range(node.children().size()):
+            yield from below(node.children().apply(k))
+
+    windows = [n for n in below(plan) if n.nodeName() == "Window"]
+    seen = {x.split("#")[0] for n in windows for x in n.output().mkString(" ").split()}
+    assert windows and "_n" in seen and not seen & {"_s", "_l", "_k", "_ts", "_te", "_tk"}
+
+
 def test_split_files(spark, tmp_path):
     text = text_of(20000, 2)
     (tmp_path / "a.txt").write_bytes(text.encode())
