@@ -5,24 +5,29 @@ given by a seeded hash. Two records are candidates if they share their prefix to
 `groups` groups of orders, and if their prefix tokens under all the orders together agree as often as similar records'
 do (one bit for each order). Only what passes these filters is verified, on the records' whole token sets.
 
-Prefixes have one token. An exact prefix of (1 - threshold) of a record's tokens makes candidates of nearly all pairs
-of records at a threshold of 0.6; with prefixes of one token a pair of similarity s is lost with the probability
-(1 - s^each)^groups: 0.0002 at 0.6, 0.000008 at 0.65 (each=4, groups=60).
+Prefixes have one token, which makes this MinHash banding: `groups` bands of `each` hashes. An exact prefix of
+(1 - threshold) of a record's tokens makes candidates of nearly all pairs of records at a threshold of 0.6; with prefixes
+of one token a pair of similarity s is lost with the probability (1 - s^each)^groups: 0.0002 at 0.6, 0.000008 at 0.65
+(each=4, groups=60).
+
+`pairs` lists all links, which are as many as there are. `classes` needs no pairs within a family: each text is verified
+against the least text of each of its prefixes, and then only against texts of the same prefix that this left in another
+class, so that no link between different classes is missed.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import WORD, bitmap, flat_words, maybe_in, mix, runs_hash, word_hashes, written
+from quirework.llm.common import bitmap, bits_for, flat_words, lower_words, maybe_in, mix, runs_hash, word_hashes, written
 
 
 def token_sets(texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +95,7 @@ def _verify(batches: Iterator[pd.DataFrame], run: int) -> Iterator[pd.DataFrame]
         for pair in zip(d["text_a"], d["text_b"], d["record_a"], d["record_b"]):
             for i, record in zip(pair[:2], pair[2:]):
                 if i not in known:
-                    w = WORD.findall(record.lower())
+                    w = lower_words(record)
                     known[i] = frozenset(zip(*(w[k:] for k in range(run))))
             a, b = known[pair[0]], known[pair[1]]
             both = len(a & b)
@@ -104,83 +109,105 @@ class Versions:
     def __init__(self, df: DataFrame, key: str, title: str, content: str, threshold: float = 0.8, run: int = 5, least_words: int = 1, each: int = 4, groups: int = 60):
         """A record is title, a space and content; null counts as empty. Contents of fewer than least_words words, and
         records of fewer than `run` words, take no part. Texts are told apart by a hash of 64 bits."""
-        self.key = key
+        self.key, self.threshold, self.run, self.orders = key, threshold, run, each * groups
         t, c = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(content), F.lit(""))
         rows = df.select(F.col(key).alias("_key"), t.alias("title"), c.alias("content")).withColumn("text_id", F.xxhash64("title", F.lit("\x01"), "content"))
         # n words have at least 2 n - 1 characters
         rows = rows.where(F.length("content") >= 2 * least_words - 1)
-        orders = each * groups
+        self._rows = rows.withColumnRenamed("_key", key)
         sign = rows.select("text_id", "title", "content").mapInArrow(lambda it: _sign(it, least_words, run, each, groups), "text_id bigint, keys array<bigint>, sketch array<bigint>")
-        signed = written(sign, "signed")
-
-        # texts that share a key with another, without building its group
-        by = W.partitionBy("prefix")
-        posts = signed.select("text_id", F.explode("keys").alias("prefix"))
-        posts = posts.withColumn("low", F.min("text_id").over(by)).withColumn("high", F.max("text_id").over(by)).where("low < high").select("prefix", "text_id")
-        posts = written(posts.distinct(), "shared")
-        # all orders together: similar records agree in (1 + s) / 2 of the bits, less five standard deviations. The bits
-        # travel with the shared keys, so that dissimilar pairs end in the join and are never shuffled
-        agree = orders * (1 + threshold) / 2
-        differ = int(orders - agree + 5 * math.sqrt(orders * (1 - threshold**2) / 4))
-        posts = posts.join(signed.groupBy("text_id").agg(F.any_value("sketch").alias("sketch")), "text_id")
-        a, b = (posts.select("prefix", F.col("text_id").alias(f"text_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-        apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
-        pairs = a.join(b, "prefix").where((F.col("text_a") < F.col("text_b")) & (apart <= differ)).select("text_a", "text_b").distinct()
-        pairs = written(pairs, "candidates")
-
-        # verification on whole texts, of the candidates only
-        ids = pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_id")).distinct()
-        texts = maybe_in(rows.select("text_id", F.concat_ws(" ", "title", "content").alias("record")), F.col("text_id"), bitmap(ids, "text_id"))
+        self.signed = written(sign, "signed")
+        # texts that share a prefix with another: prefixes are counted, which a hot one only costs a row for each task,
+        # and the posts of the others end at a bitmap of the shared ones before they are shuffled
+        posts = self.signed.select("text_id", F.explode("keys").alias("prefix"))
+        shared = written(posts.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"), "prefixes")
+        bits = bits_for(shared.count())
+        posts = maybe_in(posts, F.col("prefix"), bitmap(shared, "prefix", bits), bits).join(shared, "prefix", "left_semi")
+        sketches = self.signed.groupBy("text_id").agg(F.any_value("sketch").alias("sketch"))
+        #: prefix, text_id, sketch of the shared prefixes.
+        self.posts = written(posts.distinct().join(sketches, "text_id"), "posts")
+
+    def _near(self, a: str, b: str) -> Column:
+        """Whether two sketches agree as similar records' do: in (1 + s) / 2 of the bits, less five standard deviations.
+        Tested inside the join, so that dissimilar pairs are never shuffled."""
+        apart = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+        return apart <= int(self.orders * (1 - self.threshold) / 2 + 5 * math.sqrt(self.orders * (1 - self.threshold**2) / 4))
+
+    def _verified(self, pairs: DataFrame, what: str) -> DataFrame:
+        """text_a, text_b, similarity of the candidates that are similar, on their whole texts; written."""
+        pairs = written(pairs.distinct(), f"candidates-{what}")
+        ids = written(pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_id")).distinct(), f"ids-{what}")
+        bits = bits_for(ids.count())
+        texts = maybe_in(self._rows.select("text_id", F.concat_ws(" ", "title", "content").alias("record")), F.col("text_id"), bitmap(ids, "text_id", bits), bits)
         texts = texts.join(ids, "text_id", "left_semi").dropDuplicates(["text_id"])
         for x in "ab":
             pairs = pairs.join(texts.select(F.col("text_id").alias(f"text_{x}"), F.col("record").alias(f"record_{x}")), f"text_{x}")
-        #: text_a < text_b, similarity: one row for each pair of different texts at least as similar as the threshold.
-        self.links = written(pairs.mapInPandas(lambda it: _verify(it, run), "text_a bigint, text_b bigint, similarity double").where(F.col("similarity") >= threshold), "links")
-        self._enough = F.size(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}]+)"))) >= least_words
-        self._rows = rows.withColumnRenamed("_key", key)
+        run = self.run
+        return written(pairs.mapInPandas(lambda it: _verify(it, run), "text_a bigint, text_b bigint, similarity double").where(F.col("similarity") >= self.threshold), f"links-{what}")
 
-    @property
-    def members(self) -> DataFrame:
-        """text_id, key: the rows of each text that takes part."""
-        return self._rows.where(self._enough).select("text_id", self.key)
+    @cached_property
+    def links(self) -> DataFrame:
+        """text_a < text_b, similarity: one row for each pair of different texts at least as similar as the threshold."""
+        a, b = (self.posts.select("prefix", F.col("text_id").alias(f"text_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+        return self._verified(a.join(b, "prefix").where((F.col("text_a") < F.col("text_b")) & self._near("sketch_a", "sketch_b")).select("text_a", "text_b"), "all")
 
     def _members_of(self, ids: DataFrame) -> DataFrame:
-        """text_id, key, content of the rows with these texts; only they are shuffled."""
-        return maybe_in(self._rows.select("text_id", self.key, "content"), F.col("text_id"), bitmap(ids, "text_id")).join(ids, "text_id", "left_semi")
+        """text_id, key of the rows with these texts; only they are shuffled."""
+        bits = bits_for(ids.count())
+        return maybe_in(self._rows.select("text_id", self.key), F.col("text_id"), bitmap(ids, "text_id", bits), bits).join(ids, "text_id", "left_semi").distinct()
 
     def pairs(self) -> DataFrame:
         """key_a < key_b of all rows with different keys whose texts are linked or the same: by definition as many as there are."""
-        ids = self.links.select(F.explode(F.array("text_a", "text_b")).alias("text_id")).distinct()
-        m = self._members_of(ids).select("text_id", self.key).distinct()
+        m = self._members_of(written(self.links.select(F.explode(F.array("text_a", "text_b")).alias("text_id")).distinct(), "linked"))
         a, b = (m.select(F.col("text_id").alias(f"text_{x}"), F.col(self.key).alias(f"key_{x}")) for x in "ab")
         linked = self.links.join(a, "text_a").join(b, "text_b").where("key_a <> key_b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))
         h = F.xxhash64(self.key)
-        twice = written(self._rows.groupBy("text_id").agg(F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y").select("text_id"), "twice")
-        same = self._members_of(twice).where(self._enough).select("text_id", self.key).distinct()
+        twice = self._rows.groupBy("text_id").agg(F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y").select("text_id")
+        same = self._members_of(written(twice.join(self.signed.select("text_id"), "text_id", "left_semi"), "twice"))
         same = same.alias("p").join(same.alias("q"), "text_id").where(F.col(f"p.{self.key}") < F.col(f"q.{self.key}")).select(F.col(f"p.{self.key}").alias("key_a"), F.col(f"q.{self.key}").alias("key_b"))
         return linked.unionByName(same).distinct()
 
+    @cached_property
+    def stars(self) -> DataFrame:
+        """text_a, text_b: links enough to tell the classes. As many as texts times the few least texts they share
+        prefixes with, and those between texts of a prefix that the first ones leave in different classes."""
+        least = self.posts.groupBy("prefix").agg(F.min(F.struct("text_id", "sketch")).alias("l")).select("prefix", F.col("l.text_id").alias("text_a"), F.col("l.sketch").alias("sketch_a"))
+        first = self.posts.join(least, "prefix").where((F.col("text_id") > F.col("text_a")) & self._near("sketch_a", "sketch")).select("text_a", F.col("text_id").alias("text_b"))
+        first = self._verified(first, "stars")
+        label = _labels(first).select(F.col("text_a").alias("text_id"), "label")
+        posts = self.posts.join(label, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+        # prefixes with texts of several classes: those outside the least text's class meet the others
+        main = posts.groupBy("prefix").agg(F.min(F.struct("text_id", "label")).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+        posts = written(posts.join(main.select("prefix", F.col("m.label").alias("main")), "prefix"), "strays")
+        a = posts.where("label <> main").select("prefix", F.col("text_id").alias("a"), F.col("label").alias("label_a"), F.col("sketch").alias("sketch_a"))
+        b = posts.select("prefix", F.col("text_id").alias("b"), F.col("label").alias("label_b"), "main", F.col("sketch").alias("sketch_b"))
+        met = a.join(b, "prefix").where(((F.col("label_b") == F.col("main")) | (F.col("label_a") < F.col("label_b"))) & self._near("sketch_a", "sketch_b"))
+        rest = self._verified(met.select(F.least("a", "b").alias("text_a"), F.greatest("a", "b").alias("text_b")), "strays")
+        return written(first.unionByName(rest).select("text_a", "text_b").distinct(), "stars")
+
     def classes(self) -> DataFrame:
-        """key, class_id, n_links, n_same: one row for each key and text that takes part.
+        """key, class_id, n_same: one row for each key and text that takes part.
 
-        class_id is the least text_id that links lead to, n_links the number of other texts linked, n_same the number
-        of rows with the same text. Labels spread along links and jump to their own labels, so that a chain of n links
-        needs about log n rounds; each round is a written table.
+        class_id is the least text_id that links lead to, n_same the number of rows with the same text.
         """
-        l = self.links
-        edges = written(l.select("text_a", "text_b").unionByName(l.select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"))), "edges")
-        label = edges.groupBy("text_a").agg(F.least(F.min("text_b"), F.first("text_a")).alias("label"))
-        label = written(label, "label")
-        while True:
-            near = edges.join(label.select(F.col("text_a").alias("text_b"), "label"), "text_b").groupBy("text_a").agg(F.min("label").alias("near"))
-            step = label.join(near, "text_a").select("text_a", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-            jump = label.select(F.col("text_a").alias("label"), F.col("label").alias("far"))
-            step = written(step.join(jump, "label", "left").select("text_a", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "label")
-            changed = step.where("old <> label").limit(1).count()
-            label = step.select("text_a", "label")
-            if not changed:
-                break
-        n = edges.groupBy("text_a").agg(F.count("*").alias("n_links")).join(label, "text_a").withColumnRenamed("text_a", "text_id")
-        same = self.members.groupBy("text_id").agg(F.count("*").alias("n_same"))
-        m = self.members.distinct().join(same, "text_id").join(n, "text_id", "left")
-        return m.select(self.key, F.coalesce("label", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_same")
+        label = _labels(self.stars).select(F.col("text_a").alias("text_id"), "label")
+        rows = self._rows.select("text_id", self.key).join(self.signed.select("text_id"), "text_id", "left_semi")
+        each = rows.groupBy("text_id", self.key).agg(F.count("*").alias("n"))  # copies of a text are summed up first
+        same = each.groupBy("text_id").agg(F.sum("n").alias("n_same"))
+        return each.join(same, "text_id").join(label, "text_id", "left").select(self.key, F.coalesce("label", "text_id").alias("class_id"), "n_same")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """text_a, label: the least text that links lead to. Labels spread along links and jump to their own labels, so that a
+    chain of n links needs about log n rounds; each round is a written table."""
+    l = links.select("text_a", "text_b")
+    edges = written(l.unionByName(l.select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"))), "edges")
+    label = written(edges.groupBy("text_a").agg(F.least(F.min("text_b"), F.first("text_a")).alias("label")), "label")
+    while True:
+        near = edges.join(label.select(F.col("text_a").alias("text_b"), "label"), "text_b").groupBy("text_a").agg(F.min("label").alias("near"))
+        step = label.join(near, "text_a").select("text_a", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = label.select(F.col("text_a").alias("label"), F.col("label").alias("far"))
+        step = written(step.join(jump, "label", "left").select("text_a", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "label")
+        label = step.select("text_a", "label")
+        if step.where("old <> label").isEmpty():
+            return label

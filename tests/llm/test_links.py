@@ -47,7 +47,17 @@ def test_versions_against_brute_force(spark, seed):
     c = {(r.id, r.class_id) for r in v.classes().collect()}
     group = dict(c)
     assert {k for k, *_ in rows} - {"short", "null", "empty"} == set(group)
-    assert all(group[a] == group[b] for a, b in got)
+    # classes are what links lead to, though no pairs within a family are needed for them
+    root = {k: k for k in group}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in got:
+        root[find(a)] = find(b)
+    assert len({(find(k), group[k]) for k in group}) == len({find(k) for k in group}) == len(set(group.values()))
 
 
 def test_versions_of_hot_text(spark):
@@ -57,10 +67,25 @@ def test_versions_of_hot_text(spark):
     v = versions.Versions(df, "id", "t", "c", 0.6, 3, 40)
     assert v.links.count() == 1
     c = v.classes().collect()
-    assert len({r.class_id for r in c}) == 1 and {r.n_links for r in c} == {1}
+    assert len({r.class_id for r in c}) == 1 and {(r.id, r.n_same) for r in c if r.id in (None, "x", "k0")} == {(None, 201), ("x", 1), ("k0", 201)}
     assert v.pairs().count() == 201 * 200 // 2
 
 
+def test_classes_of_a_large_family(spark):
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(100)]
+    family = [(f"f{k}", "t", " ".join(w if j != k % 100 else f"x{k}" for j, w in enumerate(base))) for k in range(3000)]
+    # texts in pairs that have half of the words in common with all others, and a chain of edits
+    plain = [(f"p{k}{x}", "t", " ".join(base[:60] + [f"y{k // 2}z{j}" for j in range(30)] + [f"{x}{k}"])) for k in range(0, 400, 2) for x in "ab"]
+    chain = [(f"c{k}", "t", " ".join(f"v{j}" for j in range(5 * k, 5 * k + 60))) for k in range(40)]
+    df = spark.createDataFrame(family + plain + chain, "id string, t string, c string")
+    v = versions.Versions(df, "id", "t", "c", 0.6, 3, 40)
+    group = {x.id: x.class_id for x in v.classes().collect()}
+    assert len({group[k] for k, *_ in family}) == 1 and len({group[k] for k, *_ in chain}) == 1
+    assert all(group[f"p{k}a"] == group[f"p{k}b"] for k in range(0, 400, 2)) and len(set(group.values())) == 202
+    assert v.stars.count() < 12 * len(group)
+
+
 def test_versions_of_nothing(spark):
     df = spark.createDataFrame([], "id string, t string, c string")
     v = versions.Versions(df, "id", "t", "c")
