@@ -12,6 +12,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -58,6 +59,7 @@ def fold(text: str) -> str:
     return re.sub(r"([aou])e", r"\1", plain(text))
 
 
+@lru_cache(1 << 17)
 def edits(a: str, b: str) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours that turn a into b."""
     if a == b:
@@ -100,6 +102,14 @@ def monge_elkan(a: list[str], b: list[str], sim=alike) -> float:
     return min(one(a, b), one(b, a))
 
 
+def letters(word: str) -> int:
+    """The set of a word's letters as bits."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 class Given:
     """Given names: canonical names of a token, and the initials a name may be cut to."""
 
@@ -113,7 +123,7 @@ class Given:
             for x in (name, *own):
                 self.full.setdefault(x, set()).add(name)
             self.initials[name] = {name[0]} | {s[0] for s in own if s in present}
-        self.known = sorted(self.full)
+        self.known = [(k, letters(k)) for k in sorted(self.full) if len(k) >= 4]
         self.seen: dict[str, frozenset[str]] = {}
 
     def canonical(self, token: str) -> frozenset[str]:
@@ -121,8 +131,11 @@ class Given:
         if token not in self.seen:
             got = self.full.get(token)
             if got is None and len(token) >= 4:
-                best = min(((edits(token, k), k) for k in self.known if abs(len(k) - len(token)) <= 2 and len(k) >= 4), default=(9, ""))
-                got = self.full[best[1]] if best[0] <= (1 if len(token) < 7 else 2) else None
+                most, own = 1 if len(token) < 7 else 2, letters(token)
+                # an edit changes the set of letters by two at most
+                near = (k for k, x in self.known if abs(len(k) - len(token)) <= most and (own ^ x).bit_count() <= 2 * most)
+                best = min(((edits(token, k), k) for k in near), default=(9, ""))
+                got = self.full[best[1]] if best[0] <= most else None
             self.seen[token] = frozenset(got or ())
         return self.seen[token]
 
@@ -234,7 +247,7 @@ def same(a: dict, b: dict, place: str, least: float) -> float:
 def _check(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
     for d in batches:
         sims = [same({k: r[f"{k}_a"] for k in ("kind", "support")} | {k: list(r[f"{k}_a"]) for k in ("family", "plain", "names", "initials")},
-                     {k: r[f"{k}_b"] for k in ("kind", "support")} | {k: list(r[f"{k}_b"]) for k in ("family", "plain", "names", "initials")}, fold(r["place"]), least)
+                     {k: r[f"{k}_b"] for k in ("kind", "support")} | {k: list(r[f"{k}_b"]) for k in ("family", "plain", "names", "initials")}, fold(r["place_a"]), least)
                 for r in d.to_dict("records")]
         yield d[["a", "b"]].assign(sim=np.array(sims, float))
 
@@ -269,16 +282,27 @@ class Names:
         w = typed.select(F.explode(F.split(F.lower("name"), r"[^\p{L}]+")).alias("w")).where(F.col("w").isin(shorts)).distinct()
         present = {r[0] for r in w.collect()}
         n_bands = bands(similarity, recall, rows)
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a stated number isn't coalesced
         kinds = "node bigint, place string, name string, n bigint, kind string, family array<string>, plain array<string>, names array<string>, initials array<string>, bands array<bigint>"
-        nodes = placed.select("node", "place", "name", "n").repartition("node").mapInPandas(lambda it: _nodes(it, present, n_bands, rows), kinds)
-        nodes = nodes.withColumn("support", F.sum("n").over(W.partitionBy("place", "kind", F.array_sort("family"))))
+        nodes = placed.select("node", "place", "name", "n").repartition(tasks, "node").mapInPandas(lambda it: _nodes(it, present, n_bands, rows), kinds)
+        parsed = written(nodes, "parsed")
+        # how many rows have a family name in its place, summed up before it meets the names
+        family = F.array_sort("family")
+        spelled = parsed.groupBy(F.coalesce("place", F.lit("\x02")).alias("_p"), F.col("kind").alias("_k"), family.alias("_f")).agg(F.sum("n").alias("support"))
+        nodes = parsed.drop("bands").join(spelled, (F.coalesce("place", F.lit("\x02")) == F.col("_p")) & (F.col("kind") == F.col("_k")) & (family == F.col("_f"))).drop("_p", "_k", "_f")
         self.nodes = nodes = written(nodes, "nodes")
 
-        keys = nodes.where("place is not null").select("node", "place", F.explode("bands").alias("band"))
+        # persons who mean the same share an initial, so it is part of the key: a town's common family name is divided by
+        # it, and what meets are spellings of the same name. The key stands for place, band and initial
+        initials = F.when((F.col("kind") == "person") & (F.size("initials") > 0), F.col("initials")).otherwise(F.array(F.lit("")))
+        keys = parsed.where("place is not null").select("node", "place", "bands", F.explode(initials).alias("initial")).select("node", "place", "initial", F.explode("bands").alias("band"))
+        keys = keys.select("node", F.xxhash64("place", "band", "initial").alias("key"))
         a, b = keys.withColumnRenamed("node", "a"), keys.withColumnRenamed("node", "b")
-        pairs = a.join(b, ["place", "band"]).where("a < b").select("a", "b").distinct()
+        pairs = a.join(b, "key").where("a < b").select("a", "b").distinct()
+        own = ("place", "kind", "family", "plain", "names", "initials", "support")
         for x in "ab":
-            pairs = pairs.join(nodes.select(F.col("node").alias(x), *(["place"] if x == "a" else []), *(F.col(c).alias(f"{c}_{x}") for c in ("kind", "family", "plain", "names", "initials", "support"))), x)
+            pairs = pairs.join(nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in own)), x)
+        pairs = pairs.where("place_a = place_b and (kind_a = 'person') = (kind_b = 'person')").repartition(tasks)
         links = pairs.mapInPandas(lambda it: _check(it, least), "a bigint, b bigint, sim double").where("sim > 0")
         self.links = written(links, "links")
         self.stars = self._stars()
