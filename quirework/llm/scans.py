@@ -2,7 +2,7 @@
 
 Two scans of the values. The first counts, over all of them, words, neighbouring words and masked header lines; forms
 are grouped by their skeleton of confusable glyphs, and a rare form of a group is a misreading of a frequent one. The
-second scan finds the values that may be damaged (a bitmap of the misread forms has a fixed size) and takes only these
+second scan finds the values that may be damaged (by a bitmap of the misread forms) and takes only these
 apart into lines; what a line needs from the counts comes by joins. Windows over the lines put the text together.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.llm.common import NUMBER, PAGE, WORD, written
+from quirework.llm.common import NUMBER, PAGE, WORD, bits_for, bits_of, in_bits, written
 from quirework.llm.confusable import misreadings, skeleton
 from quirework.llm.truncation import OMISSION
 
@@ -176,16 +176,13 @@ def apart(text: str, title: str, known: set[str]) -> list[dict] | None:
 
 
 def _apart(batches: Iterator[pd.DataFrame], marks) -> Iterator[pd.DataFrame]:
-    bits = marks.value
     for d in batches:
         texts = list(d["_value"])
         lists = [TOKEN.findall(t) for t in texts]
         distinct = set().union(*lists) if lists else set()
-        known = set()
-        for t in {t.lower() for t in distinct}:
-            s = _hash(t) & (len(bits) * 8 - 1)
-            if bits[s >> 3] >> (s & 7) & 1:
-                known.add(t)
+        low = list({t.lower() for t in distinct})
+        hit = in_bits(np.fromiter(map(_hash, low), np.int64, len(low)), marks.value)
+        known = {t for t, x in zip(low, hit.tolist()) if x}
         cased = {t for t in distinct if t.lower() in known and not CODE.match(t)}
         lines = [apart(t, title or "", known) if "\n" in t or "\r" in t or not cased.isdisjoint(x) else None for t, x, title in zip(texts, lists, d["_title"])]
         keep = [x is not None for x in lines]
@@ -196,7 +193,7 @@ def _apart(batches: Iterator[pd.DataFrame], marks) -> Iterator[pd.DataFrame]:
 class Scans:
     """What the two scans find: misread (form, fix, n, fix_n), and lines of the damaged values with their repairs."""
 
-    def __init__(self, df: DataFrame, key: str, fields: list[str], title: str | None = None, bits: int = 1 << 24, ratio: int = 8, least: int = 5):
+    def __init__(self, df: DataFrame, key: str, fields: list[str], title: str | None = None, ratio: int = 8, least: int = 5):
         spark = df.sparkSession
         parts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("_value")) for f in fields))
         t = F.col(title) if title else F.lit(None).cast("string")
@@ -217,11 +214,8 @@ class Scans:
         own = meant(top.select("shape", F.col("fix").alias("word"), F.col("fix_n").alias("n")), top, F.greatest(enough, F.lit(20))).select(F.col("form").alias("fix")).distinct()
         top = written(top.join(own, "fix", "left_anti"), "top")
         self.misread = misread = written(meant(plain.where(F.col("word").rlike(r"\p{L}")), top, enough), "misread")
-        s = F.xxhash64("form").bitwiseAND(F.lit(bits - 1))
-        got = misread.select((s / 8).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1), (s % 8).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-        marks = np.zeros(bits // 8, np.uint8)  # at most bits / 8 rows, whatever the number of forms
-        marks[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.uint8)
-        shared = spark.sparkContext.broadcast(marks)
+        # a bitmap sized by the forms; where they are very many, more values are taken apart for nothing
+        shared = spark.sparkContext.broadcast(bits_of(misread.select(F.xxhash64("form").alias("h")), "h", bits_for(misread.count())))
         kind = dict(values.dtypes)["_key"]
         self.key = key
         found = written(values.mapInPandas(lambda it: _apart(it, shared), f"_key {kind}, field string, vid bigint, lines array<{LINE}>").distinct(), "lines")
@@ -234,9 +228,9 @@ class Scans:
         f = f.withColumn("h1", hash_of("before", "fix")).withColumn("h2", hash_of("fix", "after"))
         f = f.join(beside.select(F.col("h").alias("h1"), F.col("n").alias("s1")), "h1", "left").join(beside.select(F.col("h").alias("h2"), F.col("n").alias("s2")), "h2", "left")
         f = f.withColumn("support", F.coalesce("s1", F.lit(0)) + F.coalesce("s2", F.lit(0)))
-        best = f.groupBy("_key", "field", "vid", "no", "form").agg(F.max(F.struct("support", "fix_n", "fix")).alias("b"))
-        # a form of a rare word needs a neighbour's support
-        fixes = best.where((F.col("b.support") > 0) | (F.col("b.fix_n") >= 50)).groupBy("_key", "field", "vid", "no").agg(F.map_from_entries(F.collect_list(F.struct("form", "b.fix"))).alias("fixes"))
+        best = f.groupBy("_key", "field", "vid", "no", "form").agg(F.max(F.struct("support", "fix_n", "fix")).alias("b"), F.first("n").alias("n"))
+        # a form of a word that isn't far more frequent needs a neighbour's support
+        fixes = best.where((F.col("b.support") > 0) | (F.col("b.fix_n") >= 50 * F.col("n"))).groupBy("_key", "field", "vid", "no").agg(F.map_from_entries(F.collect_list(F.struct("form", "b.fix"))).alias("fixes"))
 
         # broken words: is the joined word or the compound with a hyphen of its own the more frequent one
         b = each.where("a is not null").select("_key", "field", "vid", "no", "a", "b", "mark")
