@@ -52,46 +52,38 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slot(key: Column | str, bits: int) -> Column:
-    """The bit that stands for a key."""
-    return F.pmod(F.xxhash64(key), F.lit(bits))
-
-
-def bitmap(keys: DataFrame, key: str, bits: int = 1 << 22) -> DataFrame:
-    """A bitmap of the keys as rows (word, mask): at most bits / 63 rows of 16 bytes, whatever the number of keys."""
-    s = slot(F.col(key), bits)
-    return (
-        keys.where(F.col(key).isNotNull())
-        .select((s / BITS_PER_WORD).cast("long").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (s % BITS_PER_WORD).cast("int")).alias("_mask"))
-        .groupBy("_word")
-        .agg(F.bit_or("_mask").alias("_mask"))
-    )
+def only_in(df: DataFrame, key: str, keys: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """The rows of df whose key is among the keys (a column of that name, without repeats).
 
+    Up to `most` keys, a broadcast bitmap of 16 bits or more for each (2^24 bits: 266,306 rows of 16 bytes) keeps nearly
+    all other rows from being shuffled; beyond, df is joined as it is. The rows are the same.
+    """
+    n = keys.count()
+    if n <= most:
+        bits = bits_for(n, 16)
+        s = F.pmod(F.xxhash64(key), F.lit(bits))
+        word, bit = (s / BITS_PER_WORD).cast("long"), (s % BITS_PER_WORD).cast("int")
+        marks = keys.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
+        df = df.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(marks), "_word").where(F.call_function("shiftright", F.col("_mask"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1)
+        df = df.drop("_word", "_bit", "_mask")
+    return df.join(keys, key, "left_semi")
 
-def maybe_in(df: DataFrame, key: Column, marks: DataFrame, bits: int = 1 << 22) -> DataFrame:
-    """Rows of df whose key may be among the bitmap's keys (no row with such a key is lost; a few others stay).
 
-    marks is broadcast: bitmap() bounds its size (4 Mi bits: 66,577 rows, about 1 MB).
-    """
-    s = slot(key, bits)
-    return (
-        df.withColumn("_word", (s / BITS_PER_WORD).cast("long"))
-        .withColumn("_bit", (s % BITS_PER_WORD).cast("int"))
-        .join(F.broadcast(marks), "_word")
-        .where(F.call_function("shiftright", F.col("_mask"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1)
-        .drop("_word", "_bit", "_mask")
-    )
+#: Bits that stand for a key in the bitmaps that Python reads.
+PLACES = 4
 
 
 def bits_of(keys: DataFrame, key: str, bits: int) -> np.ndarray:
-    """A bitmap of 64-bit keys as bytes; bits is a power of two. At most bits / 32 rows of 8 bytes come to the driver."""
-    s = F.col(key).bitwiseAND(F.lit(bits - 1))
+    """A bitmap of 64-bit keys; bits is a power of two. Each key sets PLACES bits, told by the two halves of its hash. At
+    most bits / 32 rows of 8 bytes come to the driver."""
+    k = F.col(key)
+    step = F.call_function("shiftrightunsigned", k, F.lit(32)).bitwiseOR(F.lit(1))
+    s = F.explode(F.array(*((k + step * j).bitwiseAND(F.lit(bits - 1)) for j in range(PLACES)))).alias("s")
     got = (
-        keys.where(F.col(key).isNotNull())
-        .select((s / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (s % 32).cast("int")).alias("m"))
-        .groupBy("w")
-        .agg(F.bit_or("m").alias("m"))
-    )
+        keys.where(k.isNotNull()).select(s)
+        .select((F.col("s") / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 32).cast("int")).alias("m"))
+        .groupBy("w").agg(F.bit_or("m").alias("m"))
+    )
     table = got.toArrow()
     out = np.zeros(bits // 32, np.uint32)
     out[table.column("w").to_numpy()] = table.column("m").to_numpy().astype(np.uint32)
@@ -100,13 +92,21 @@ def bits_of(keys: DataFrame, key: str, bits: int) -> np.ndarray:
 
 def in_bits(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which of the 64-bit keys the bitmap may have."""
-    s = h.astype(np.uint64) & np.uint64(len(bits) * 32 - 1)
-    return (bits[(s >> np.uint64(5)).astype(np.int64)] >> (s & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+    h = h.astype(np.uint64)
+    left, size = np.arange(len(h)), np.uint64(len(bits) * 32 - 1)
+    with np.errstate(over="ignore"):
+        for j in range(PLACES):
+            k = h[left]
+            s = (k + ((k >> np.uint64(32)) | np.uint64(1)) * np.uint64(j)) & size
+            left = left[(bits[(s >> np.uint64(5)).astype(np.int64)] >> (s & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1]
+    out = np.zeros(len(h), bool)
+    out[left] = True
+    return out
 
 
-def bits_for(n: int, each: int = 16, most: int = 1 << 28) -> int:
-    """Bits of a bitmap for n keys: a power of two, `each` for a key, at least 4096; at most `most` (32 MiB), beyond which
-    more other keys pass and none is lost."""
+def bits_for(n: int, each: int = 32, most: int = 1 << 28) -> int:
+    """Bits of a bitmap for n keys: a power of two, `each` or more for a key, at least 4096; at most `most` (32 MiB), beyond
+    which more other keys pass and none is lost. With 32 bits for a key 2 of 10,000 other keys pass (PLACES bits a key)."""
     return min(most, 1 << max(12, (max(1, n) * each - 1).bit_length()))
 
 

@@ -215,7 +215,7 @@ class Scans:
         top = written(top.join(own, "fix", "left_anti"), "top")
         self.misread = misread = written(meant(plain.where(F.col("word").rlike(r"\p{L}")), top, enough), "misread")
         # a bitmap sized by the forms; where they are very many, more values are taken apart for nothing
-        shared = spark.sparkContext.broadcast(bits_of(misread.select(F.xxhash64("form").alias("h")), "h", bits_for(misread.count())))
+        shared = spark.sparkContext.broadcast(bits_of(misread.select(F.xxhash64("form").alias("h")), "h", bits_for(misread.count(), 64)))
         kind = dict(values.dtypes)["_key"]
         self.key = key
         found = written(values.mapInPandas(lambda it: _apart(it, shared), f"_key {kind}, field string, vid bigint, lines array<{LINE}>").distinct(), "lines")
