@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import bitmap, bits_for, flat_words, lower_words, maybe_in, mix, runs_hash, word_hashes, written
+from quirework.llm.common import flat_words, lower_words, mix, only_in, runs_hash, word_hashes, written
 
 
 def token_sets(texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +121,7 @@ class Versions:
         # and the posts of the others end at a bitmap of the shared ones before they are shuffled
         posts = self.signed.select("text_id", F.explode("keys").alias("prefix"))
         shared = written(posts.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"), "prefixes")
-        bits = bits_for(shared.count())
-        posts = maybe_in(posts, F.col("prefix"), bitmap(shared, "prefix", bits), bits).join(shared, "prefix", "left_semi")
+        posts = only_in(posts, "prefix", shared)
         sketches = self.signed.groupBy("text_id").agg(F.any_value("sketch").alias("sketch"))
         #: prefix, text_id, sketch of the shared prefixes.
         self.posts = written(posts.distinct().join(sketches, "text_id"), "posts")
@@ -137,9 +136,7 @@ class Versions:
         """text_a, text_b, similarity of the candidates that are similar, on their whole texts; written."""
         pairs = written(pairs.distinct(), f"candidates-{what}")
         ids = written(pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_id")).distinct(), f"ids-{what}")
-        bits = bits_for(ids.count())
-        texts = maybe_in(self._rows.select("text_id", F.concat_ws(" ", "title", "content").alias("record")), F.col("text_id"), bitmap(ids, "text_id", bits), bits)
-        texts = texts.join(ids, "text_id", "left_semi").dropDuplicates(["text_id"])
+        texts = only_in(self._rows.select("text_id", F.concat_ws(" ", "title", "content").alias("record")), "text_id", ids).dropDuplicates(["text_id"])
         for x in "ab":
             pairs = pairs.join(texts.select(F.col("text_id").alias(f"text_{x}"), F.col("record").alias(f"record_{x}")), f"text_{x}")
         run = self.run
@@ -153,8 +150,7 @@ class Versions:
 
     def _members_of(self, ids: DataFrame) -> DataFrame:
         """text_id, key of the rows with these texts; only they are shuffled."""
-        bits = bits_for(ids.count())
-        return maybe_in(self._rows.select("text_id", self.key), F.col("text_id"), bitmap(ids, "text_id", bits), bits).join(ids, "text_id", "left_semi").distinct()
+        return only_in(self._rows.select("text_id", self.key), "text_id", ids).distinct()
 
     def pairs(self) -> DataFrame:
         """key_a < key_b of all rows with different keys whose texts are linked or the same: by definition as many as there are."""
