@@ -59,6 +59,11 @@ def title_from_stem(stem: Column) -> Column:
     return F.when(word_count(t) >= 4, t)
 
 
+def title_case(c: Column) -> Column:
+    """Every run of letters with one capital in front, whatever stands before it."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)")), lambda x: F.initcap(x)), "")
+
+
 def looks_like_title(c: Column) -> Column:
     return (word_count(c) >= 4) & ~c.rlike("(?i)" + V.any_of(V.BAD_TITLES))
 
@@ -80,8 +85,13 @@ def is_boilerplate(line: Column, strict: bool = False) -> Column:
     return trim_ws(line).rlike("(?i)" + V.any_of(p + ([r"\b(research|article)\b"] if strict else [])))
 
 
+def strip_boilerplate(lines: Column) -> Column:
+    """An array of lines without boilerplate, bare numbers or bare figure labels."""
+    label = r"(?i)^(figure|fig\.|table|scheme)\s*\d+\s*[.\-]?\s*$"
+    return F.filter(lines, lambda l: ~is_boilerplate(l) & ~trim_ws(l).rlike(label))
+
+
 def section_body(lines: Column) -> Column:
     """An array of lines as a section's text: no boilerplate, bare numbers or bare figure labels."""
-    label = r"(?i)^(figure|fig\.|table|scheme)\s*\d+\s*[.\-]?\s*$"
-    kept = F.filter(lines, lambda l: ~is_boilerplate(l) & ~trim_ws(l).rlike(label))
+    kept = strip_boilerplate(lines)
     return trim_ws(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))

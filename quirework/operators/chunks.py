@@ -12,16 +12,20 @@ from quirework.functions import vocabularies as V
 LEAST_WORDS = 20
 
 
-def build(papers: DataFrame, merged: DataFrame, key: str) -> DataFrame:
+def build(papers: DataFrame, merged: DataFrame, key: str, repaired: DataFrame | None = None) -> DataFrame:
     """key, chunk_type, chunk_id, content, word_count, confidence.
 
     Every paper gets its core types, empty ones too; the optional ones only from LEAST_WORDS words. The number in
-    chunk_id counts the paper's chunks. merged: key, canonical, content, confidence.
+    chunk_id counts the paper's chunks. merged: key, canonical, content, confidence; repaired: key, results, the results
+    sections that take the place of the merged ones.
     """
     types = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(t).alias("chunk_type")) for i, t in enumerate(V.CHUNK_TYPES))))
     p = papers.select(key, types.alias("t")).select(key, "t.*")
     m = merged.withColumnRenamed("canonical", "chunk_type")
-    c = p.join(m, [key, "chunk_type"], "left").withColumn("content", F.coalesce("content", F.lit(""))).withColumn("word_count", T.word_count(F.col("content")))
+    c = p.join(m, [key, "chunk_type"], "left")
+    if repaired is not None:
+        c = c.join(repaired.select(key, F.lit("results").alias("chunk_type"), "results"), [key, "chunk_type"], "left").withColumn("content", F.coalesce("results", "content"))
+    c = c.withColumn("content", F.coalesce("content", F.lit(""))).withColumn("word_count", T.word_count(F.col("content")))
     c = c.where(~F.col("chunk_type").isin(V.OPTIONAL_TYPES) | (F.col("word_count") >= LEAST_WORDS))
     no = F.row_number().over(W.partitionBy(key).orderBy("place")) - 1
     return c.withColumn("no", no).select(
@@ -32,8 +36,7 @@ def build(papers: DataFrame, merged: DataFrame, key: str) -> DataFrame:
 
 def figure_content(caption: Column, figure_id: Column) -> Column:
     """A figure chunk's content: the caption or a placeholder."""
-    n = F.regexp_extract(figure_id, r"(\d+)", 1)
-    return F.when(F.coalesce(caption, F.lit("")) != "", caption).otherwise(F.concat(F.lit("[Figure "), F.regexp_replace(n, "^0+", ""), F.lit(" - no text found]")))
+    return F.when(F.coalesce(caption, F.lit("")) != "", caption).otherwise(F.concat(F.lit("[Figure "), F.coalesce(figure_id, F.lit("")), F.lit(" — no caption detected]")))
 
 
 def with_figures(chunks: DataFrame, figures: DataFrame, key: str) -> DataFrame:

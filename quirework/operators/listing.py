@@ -3,35 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def stats(chunks: DataFrame) -> DataFrame:
-    """kind, name, n: total chunks, distinct papers, chunks of each type."""
+    """kind, name, n: total chunks, distinct papers, chunks of each type and of each paper."""
+    count = lambda kind, name: chunks.groupBy(F.coalesce(name, F.lit("")).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
     t = chunks.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit("chunks").alias("name"), "n")
     p = chunks.agg(F.countDistinct("paper_id").alias("n")).select(F.lit("total").alias("kind"), F.lit("papers").alias("name"), "n")
-    c = chunks.groupBy(F.coalesce("chunk_type", F.lit("")).alias("name")).agg(F.count("*").alias("n")).select(F.lit("type").alias("kind"), "name", "n")
-    return t.unionByName(p).unionByName(c)
+    return t.unionByName(p).unionByName(count("type", "chunk_type")).unionByName(count("paper", "paper_id"))
 
 
 def publications(chunks: DataFrame, order: str) -> DataFrame:
-    """paper_id, title, authors, year, doi of each paper's first row, with its place by year, the latest first.
+    """paper_id, title, authors, year, doi of each paper's first row, first_row, place: by year, the latest first.
 
-    Years are text: an empty one comes last.
+    Years are text: an empty one comes last. Papers of a year stand by their first row. The place is the number of
+    papers of later years and the place in the year, so that no task orders all papers.
     """
     cols = ["title", "authors", "year", "doi"]
     first = F.min_by(F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in cols)), order)
-    p = chunks.where(F.coalesce("paper_id", F.lit("")) != "").groupBy("paper_id").agg(first.alias("f"), F.min(order).alias("first_row"))
-    return p.select("paper_id", "f.*", "first_row")
+    p = chunks.where(F.coalesce("paper_id", F.lit("")) != "").groupBy("paper_id").agg(first.alias("f"), F.min(order).alias("first_row")).select("paper_id", "f.*", "first_row")
+    years = p.groupBy("year").agg(F.count("*").alias("c")).select("year", (F.sum("c").over(W.orderBy(F.desc("year"))) - F.col("c")).alias("_later"))
+    own = F.row_number().over(W.partitionBy("year").orderBy("first_row"))
+    return p.withColumn("place", own).join(years, "year").select("paper_id", *cols, "first_row", (F.col("_later") + F.col("place")).alias("place"))
 
 
-def listing(chunks: DataFrame, chunk_type: str | None = None, paper: str | None = None) -> DataFrame:
-    """Rows of a type whose paper_id contains the text, without regard to case; not ordered."""
+def count_of(df: DataFrame) -> Column:
+    """The number of df's rows, as a scalar subquery of whatever it is used in."""
+    return df.agg(F.count("*")).scalar()
+
+
+def listing(chunks: DataFrame, chunk_type: str | None = None, paper: str | None = None, order: str | None = None) -> DataFrame:
+    """Rows of a type whose paper_id contains the text, without regard to case. With order: `place` within the paper, by
+    type and order, and the rows sorted by paper and place."""
     out = chunks
     if chunk_type:
         out = out.where(F.col("chunk_type") == chunk_type)
     if paper:
         out = out.where(F.lower("paper_id").contains(paper.lower()))
+    if order:
+        out = out.withColumn("place", F.row_number().over(W.partitionBy("paper_id").orderBy("chunk_type", order))).orderBy("paper_id", "place")
     return out
 
 

@@ -13,6 +13,7 @@ from quirework.operators import chunks as C
 from quirework.operators import index as I
 from quirework.operators import layout as L
 from quirework.operators import listing as A
+from quirework.operators import papers as N
 from quirework.operators import questions as Q
 from quirework.operators import search as S
 from quirework.operators import sections as P
@@ -37,10 +38,8 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents' ids and texts; spread over the cores where the files give fewer partitions than there are."""
-    t = read(spark, d, "documents").select("doc_id", "text")
-    n = spark.sparkContext.defaultParallelism
-    return t if t.rdd.getNumPartitions() >= n else t.repartition(n)
+    """Documents' ids and texts."""
+    return read(spark, d, "documents").select("doc_id", "text")
 
 
 def q(pattern: str) -> str:
@@ -90,32 +89,34 @@ SQL_SECTIONS = (
     merged AS (SELECT doc_id, canonical, string_agg(content, chr(10) || chr(10) ORDER BY section_no) AS content, arg_min(confidence, section_no) AS confidence
         FROM sections WHERE content <> '' GROUP BY ALL)"""
 )
+SQL_REPAIR = rf"""rl AS (SELECT doc_id, i AS n, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) u(i)),
+    rf AS (SELECT doc_id, min(n) AS first FROM rl WHERE regexp_matches(line, '^\s*Results\s*$') GROUP BY doc_id),
+    ra AS (SELECT doc_id, n, line, min(CASE WHEN regexp_matches(line, {q(V.AFTER_RESULTS)}) THEN n END) OVER (PARTITION BY doc_id) AS stop FROM rl JOIN rf USING (doc_id) WHERE n > first),
+    rb AS (SELECT doc_id, {sql_trim("string_agg(line, chr(10) ORDER BY n)")} AS results FROM ra WHERE stop IS NULL OR n < stop GROUP BY doc_id),
+    repaired AS (SELECT * FROM rb WHERE {sql_words("results")} > 20)"""
 TYPE_ROWS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(V.CHUNK_TYPES))
 SQL_CHUNKS = (
     SQL_SECTIONS
     + f""",
-    kk AS (SELECT d.doc_id, v.place, v.chunk_type, coalesce(m.content, '') AS content, coalesce(m.confidence, 'unknown') AS confidence
-        FROM documents d CROSS JOIN (VALUES {TYPE_ROWS}) v(place, chunk_type) LEFT JOIN merged m ON m.doc_id = d.doc_id AND m.canonical = v.chunk_type),
-    built AS (SELECT doc_id, chunk_type, concat_ws('__', doc_id, chunk_type, lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS VARCHAR), 3, '0')) AS chunk_id,
+    {SQL_REPAIR},
+    kk AS (SELECT d.doc_id, v.place, v.chunk_type, CASE WHEN v.chunk_type = 'results' AND rr.results IS NOT NULL THEN rr.results ELSE coalesce(m.content, '') END AS content, coalesce(m.confidence, 'unknown') AS confidence
+        FROM documents d CROSS JOIN (VALUES {TYPE_ROWS}) v(place, chunk_type) LEFT JOIN merged m ON m.doc_id = d.doc_id AND m.canonical = v.chunk_type LEFT JOIN repaired rr ON rr.doc_id = d.doc_id),
+    built AS (SELECT doc_id, chunk_type, concat_ws('__', doc_id, chunk_type, printf('%03d', row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)) AS chunk_id,
         content, CAST({sql_words("content")} AS INT) AS word_count, confidence
         FROM kk WHERE chunk_type NOT IN ('conclusion', 'acknowledgements') OR {sql_words("content")} >= 20)"""
 )
 
 
 # ---- search over vectors
-def _query_vector(e: DataFrame, vec_id: int) -> list[tuple[int, list[float]]]:
-    return [(r[0], list(r[1])) for r in e.where(F.col("vec_id") == vec_id).select("vec_id", "embedding").collect()]
-
-
 NEAR = "list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
 VEC = f"""SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(d, 4) AS distance FROM (SELECT v.vec_id AS query_id, e.vec_id, {NEAR} AS d,
     row_number() OVER (PARTITION BY v.vec_id ORDER BY {NEAR}, e.vec_id) AS rank FROM embeddings e, embeddings v WHERE %s) WHERE rank <= 5"""
 
 
-@query(VEC % "v.vec_id = 0 AND e.label IN (1, 2, 3)")
+@query(VEC % "v.vec_id % 50 = 0 AND e.label IN (1, 2, 3)")
 def vec_topk_filtered(spark, d):
     e = read(spark, d, "embeddings")
-    return S.nearest(e.where(S.where({"$and": [{"label": {"$in": [1, 2, 3]}}]})), "vec_id", "embedding", _query_vector(e, 0))
+    return S.nearest_blocks(e.where(S.where({"$and": [{"label": {"$in": [1, 2, 3]}}]})), "vec_id", "embedding", e.where(F.col("vec_id") % 50 == 0))
 
 
 @query(VEC % "v.vec_id % 50 = 0")
@@ -124,12 +125,11 @@ def vec_topk_batch(spark, d):
     return S.nearest_blocks(e, "vec_id", "embedding", e.where(F.col("vec_id") % 50 == 0))
 
 
-@query(f"""SELECT band, count(*) AS n FROM (SELECT CASE WHEN round({NEAR}, 4) < 0.3 THEN 'very relevant' WHEN round({NEAR}, 4) < 0.5 THEN 'relevant' ELSE 'loosely related' END AS band
-    FROM embeddings e, embeddings v WHERE v.vec_id = 0) GROUP BY band""")
+@query(f"""SELECT query_id, band, count(*) AS n FROM (SELECT v.vec_id AS query_id, CASE WHEN round({NEAR}, 4) < 0.3 THEN 'very relevant' WHEN round({NEAR}, 4) < 0.5 THEN 'relevant' ELSE 'loosely related' END AS band
+    FROM embeddings e, embeddings v WHERE v.vec_id % 50 = 0) GROUP BY ALL""")
 def vec_band(spark, d):
     e = read(spark, d, "embeddings")
-    hits = S.distances(e, "vec_id", "embedding", _query_vector(e, 0)[0][1])
-    return hits.groupBy(S.band(F.col("distance")).alias("band")).agg(F.count("*").alias("n"))
+    return S.band_counts(e, "embedding", e.where(F.col("vec_id") % 50 == 0), "vec_id")
 
 
 @query(f"""WITH t AS ({VEC % "v.vec_id % 50 = 0 AND e.label = v.label AND v.label < 5"}), b AS ({VEC % "v.vec_id % 50 = 0"})
@@ -137,10 +137,8 @@ def vec_band(spark, d):
 def vec_fallback(spark, d):
     e = read(spark, d, "embeddings")
     asked = e.where(F.col("vec_id") % 50 == 0)
-    targeted = None
-    for label in range(5):
-        t = S.nearest_blocks(e.where(F.col("label") == label), "vec_id", "embedding", asked.where(F.col("label") == label))
-        targeted = t if targeted is None else targeted.unionByName(t)
+    own = asked.where("label < 5").select("vec_id", "embedding", F.array("label").alias("kinds"))
+    targeted = S.nearest_blocks(e, "vec_id", "embedding", own, kind="label", kinds="kinds")
     return S.with_fallback(targeted, S.nearest_blocks(e, "vec_id", "embedding", asked), "query_id")
 
 
@@ -172,42 +170,61 @@ def doi_year_extract(spark, d):
 SQL_STEM = r"regexp_replace(regexp_replace({0}, '^.*/', ''), '\.[^.]*$', '')"
 
 
-@query(rf"""SELECT paper_id, CASE WHEN {sql_words("t")} >= 4 THEN t WHEN {sql_words("title")} >= 4 AND NOT regexp_matches(title, {one_of(V.BAD_TITLES)}) THEN title ELSE replace(paper_id, '_', ' ') END AS resolved,
-    {sql_words("title")} >= 4 AND NOT regexp_matches(title, {one_of(V.BAD_TITLES)}) AS plausible
-    FROM (SELECT paper_id, title, {sql_trim(r"regexp_replace(" + SQL_STEM.format("pdf_path") + r", '^\d{4}[ \t\n\r\f\v]+', '')")} AS t FROM papers)""")
+SQL_YEARLESS = lambda x: sql_trim(rf"regexp_replace({x}, '^\d{{4}}[ \t\n\r\f\v]+', '')")
+SQL_TITLE_CASE = lambda x: rf"array_to_string(list_transform(regexp_extract_all({x}, '\p{{L}}+|[^\p{{L}}]+'), lambda p: upper(p[1]) || lower(p[2:])), '')"
+SQL_TITLE_LIKE = lambda x: rf"({sql_words(x)} >= 4 AND NOT regexp_matches({x}, {one_of(V.BAD_TITLES)}))"
+SQL_FIRST_LINES = lambda table, key, text, n: rf"SELECT {key}, i AS line_no, {sql_trim('l[i]')} AS s FROM (SELECT {key}, string_split({text}, chr(10)) AS l FROM {table}), unnest(range(1, least(len(l), {n}) + 1)) u(i)"
+SQL_PAGE_TITLE = lambda table, key, text: rf"""SELECT {key}, arg_min(s, length(s) * -100000 + line_no) AS title FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY line_no) AS r FROM ({SQL_FIRST_LINES(table, key, text, 30)})
+    WHERE length(s) >= 15 AND NOT regexp_matches(s, {one_of(V.BOILERPLATE)}) AND NOT regexp_matches(s, '(?i)^https?://|^doi:') AND length(s) - length(replace(s, ',', '')) <= 4
+        AND NOT (s = upper(s) AND s <> lower(s) AND {sql_words("s")} > 3) AND NOT regexp_matches(s, {one_of(V.NOT_IN_TITLE)})) WHERE r <= 15 GROUP BY {key}"""
+
+
+@query(rf"""WITH p AS (SELECT paper_id, length(paper_id) % 5 AS v, title, {SQL_STEM.format("pdf_path")} AS stem FROM papers),
+    c AS (SELECT paper_id, arg_min(content, row_id) FILTER (WHERE chunk_type = 'overview') AS o, arg_min(content, row_id) FILTER (WHERE chunk_type = 'introduction') AS i FROM chunks WHERE content <> '' GROUP BY paper_id),
+    t AS ({SQL_PAGE_TITLE("(SELECT paper_id, o AS text FROM c WHERE o IS NOT NULL)", "paper_id", "text")}),
+    x AS (SELECT p.paper_id, v, CASE WHEN v = 0 THEN stem ELSE '2024 A Short-Name' END AS stem, CASE WHEN v = 1 THEN '2021 ' || p.title WHEN v = 0 THEN p.title ELSE '' END AS title,
+        CASE WHEN v = 2 THEN coalesce(t.title, '') ELSE '' END AS page_title, CASE WHEN v IN (2, 3) THEN coalesce(o, '') ELSE '' END AS o, CASE WHEN v IN (2, 3) THEN coalesce(i, '') ELSE '' END AS i FROM p LEFT JOIN c USING (paper_id) LEFT JOIN t USING (paper_id)),
+    y AS (SELECT *, {SQL_YEARLESS("stem")} AS a, {SQL_YEARLESS("title")} AS b, {sql_trim("page_title")} AS c, {sql_trim("string_split(o, '.')[1]")} AS d, {sql_trim("string_split(i, '.')[1]")} AS e FROM x)
+    SELECT paper_id, CASE WHEN {sql_words("a")} >= 4 THEN a WHEN {SQL_TITLE_LIKE("b")} THEN b WHEN {SQL_TITLE_LIKE("c")} AND {sql_words("c")} <= 25 THEN c
+        WHEN {SQL_TITLE_LIKE("d")} AND {sql_words("d")} <= 30 THEN d WHEN {SQL_TITLE_LIKE("e")} AND {sql_words("e")} <= 30 THEN e ELSE {SQL_TITLE_CASE("replace(paper_id, '_', ' ')")} END AS resolved, {SQL_TITLE_LIKE("title")} AS plausible,
+        CASE WHEN title <> '' THEN title WHEN {sql_words("a")} >= 4 THEN a ELSE {SQL_TITLE_CASE("replace(replace(stem, '_', ' '), '-', ' ')")} END AS from_data FROM y""")
 def resolve_title(spark, d):
-    p, title = read(spark, d, "papers"), F.col("title")
-    best = F.coalesce(T.title_from_stem(T.file_stem(F.col("pdf_path"))), F.when(T.looks_like_title(title), title), F.replace("paper_id", F.lit("_"), F.lit(" ")))
-    return p.select("paper_id", best.alias("resolved"), T.looks_like_title(title).alias("plausible"))
+    """Papers decorated by the length of their id, so that each step of the order decides for some."""
+    p, v = read(spark, d, "papers"), F.length("paper_id") % 5
+    first = lambda kind: F.min_by(F.when(F.col("chunk_type") == kind, F.col("content")), F.when(F.col("chunk_type") == kind, F.col("row_id")))
+    c = read(spark, d, "chunks").where("content <> '' and chunk_type in ('overview', 'introduction')").groupBy("paper_id").agg(first("overview").alias("o"), first("introduction").alias("i"))
+    t = N.page_title(c.where("o is not null"), "paper_id", "o").withColumnRenamed("title", "t")
+    x = p.join(c, "paper_id", "left").join(t, "paper_id", "left").select(
+        "paper_id", F.when(v == 0, T.file_stem(F.col("pdf_path"))).otherwise("2024 A Short-Name").alias("stem"), F.when(v == 1, F.concat(F.lit("2021 "), "title")).when(v == 0, F.col("title")).otherwise("").alias("title"),
+        F.when(v == 2, F.col("t")).alias("page_title"), F.when(v.isin(2, 3), F.col("o")).alias("overview"), F.when(v.isin(2, 3), F.col("i")).alias("introduction"),
+    )
+    return N.resolve_titles(x).select("paper_id", "resolved", T.looks_like_title(F.col("title")).alias("plausible"), N.title_from_data(F.col("title"), F.col("stem")).alias("from_data"))
 
 
-@query(rf"""WITH l AS (SELECT doc_id, i AS line_no, {sql_trim("l[i]")} AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, least(len(l), 30) + 1)) u(i)),
-    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM l WHERE length(s) >= 15 AND NOT regexp_matches(s, {one_of(V.BOILERPLATE)}) AND NOT regexp_matches(s, '(?i)^https?://|^doi:')
-        AND length(s) - length(replace(s, ',', '')) <= 4 AND NOT (s = upper(s) AND s <> lower(s) AND {sql_words("s")} > 3) AND NOT regexp_matches(s, {one_of(V.NOT_IN_TITLE)}))
-    SELECT doc_id, arg_min(s, length(s) * -100000 + line_no) AS title FROM k WHERE r <= 15 GROUP BY doc_id""")
+@query(SQL_PAGE_TITLE("documents", "doc_id", "text"))
 def title_heuristic(spark, d):
-    from pyspark.sql import Window as W
-
-    s = T.trim_ws(F.col("line"))
-    l = P.lines(read(spark, d, "documents"), "doc_id", "text").where("line_no < 30").select("doc_id", "line_no", s.alias("s"))
-    s = F.col("s")
-    commas = F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
-    loud = (s == F.upper(s)) & (s != F.lower(s)) & (T.word_count(s) > 3)
-    ok = (F.length(s) >= 15) & ~T.is_boilerplate(s) & ~s.rlike("(?i)^https?://|^doi:") & (commas <= 4) & ~loud & ~s.rlike("(?i)" + V.any_of(V.NOT_IN_TITLE))
-    k = l.where(ok).withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no"))).where("r <= 15")
-    return k.groupBy("doc_id").agg(F.min_by("s", F.struct(-F.length(s), "line_no")).alias("title"))
-
-
-@query(rf"""WITH l AS (SELECT doc_id, i AS line_no, {sql_trim("l[i]")} AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, least(len(l), 50) + 1)) u(i)),
-    k AS (SELECT *, regexp_replace({sql_trim(r"regexp_replace(regexp_replace(s, '\d+,?\d*', '', 'g'), '\s+', ' ', 'g')")}, '^,+|,+$', '', 'g') AS c FROM l
-        WHERE contains(s, ' and ') AND length(s) - length(replace(s, ',', '')) >= 2 AND NOT regexp_matches(lower(s), {q("|".join(V.INSTITUTIONS))}))
-    SELECT doc_id, arg_min(c, line_no) AS authors FROM k WHERE length(c) > 10 GROUP BY doc_id""")
+    return N.page_title(read(spark, d, "documents"), "doc_id", "text")
+
+
+@query(rf"""WITH k AS (SELECT *, regexp_replace({sql_trim(r"regexp_replace(regexp_replace(s, '\d+,?\d*', '', 'g'), '\s+', ' ', 'g')")}, '^,+|,+$', '', 'g') AS c FROM ({SQL_FIRST_LINES("documents", "doc_id", "text", 50)})
+        WHERE contains(s, ' and ') AND length(s) - length(replace(s, ',', '')) >= 2 AND NOT regexp_matches(lower(s), {q("|".join(V.INSTITUTIONS))})),
+    f AS (SELECT doc_id, arg_min(c, line_no) AS c FROM k WHERE length(c) > 10 GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN 'Author of ' || coalesce(source, 'x') ELSE coalesce(c, '') END AS authors FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id""")
 def resolve_authors(spark, d):
-    l = P.lines(read(spark, d, "documents"), "doc_id", "text").where("line_no < 50").select("doc_id", "line_no", T.trim_ws(F.col("line")).alias("s"))
-    s = F.col("s")
-    l = l.where(s.contains(" and ") & (F.length(s) - F.length(F.replace(s, F.lit(","), F.lit(""))) >= 2) & ~F.lower(s).rlike("|".join(V.INSTITUTIONS)))
-    c = F.regexp_replace(T.trim_ws(F.regexp_replace(F.regexp_replace(s, r"\d+,?\d*", ""), r"\s+", " ")), "^,+|,+$", "")
-    return l.withColumn("c", c).where("length(c) > 10").groupBy("doc_id").agg(F.min_by("c", "line_no").alias("authors"))
+    """A third of the documents have authors in their data, by FIXTURES 3."""
+    x = read(spark, d, "documents").withColumn("m", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" Author of "), F.coalesce("source", F.lit("x")), F.lit(" "))))
+    return N.resolve_authors(x, "doc_id", "text", "m")
+
+
+@query(r"""SELECT paper_id, arg_min(doi, (page, row_id)) AS doi FROM (SELECT paper_id, row_id, CASE chunk_type WHEN 'overview' THEN 1 WHEN 'introduction' THEN 2 ELSE 3 END AS page,
+    regexp_replace(regexp_extract(content, '(10\.\d{4,9}/[^ \t\n\r\f]+)', 1), '[.,;)]+$', '') AS doi FROM (SELECT * REPLACE (CASE WHEN row_id % 3 = 0 THEN content || ' 10.1234/x.' || row_id || '.' ELSE content END AS content) FROM chunks)) WHERE page <= 2 AND doi <> '' GROUP BY paper_id""")
+def paper_doi(spark, d):
+    """Chunks stand in for pages; a third has a DOI appended, by FIXTURES 3."""
+    page = F.when(F.col("chunk_type") == "overview", 1).when(F.col("chunk_type") == "introduction", 2).otherwise(3)
+    text = F.when(F.col("row_id") % 3 == 0, F.concat("content", F.lit(" 10.1234/x."), F.col("row_id").cast("string"), F.lit("."))).otherwise(F.col("content"))
+    c = read(spark, d, "chunks").select("paper_id", F.struct(page.alias("p"), "row_id").alias("at"), page.alias("page"), text.alias("text"))
+    first = c.where("page <= 2").withColumn("_d", T.doi(F.col("text"))).where("_d <> ''").groupBy("paper_id").agg(F.min_by("text", "at").alias("text"))
+    return N.paper_doi(first.withColumn("page", F.lit(1)), "paper_id", "page", "text")
 
 
 @query(rf"""SELECT row_id, CASE WHEN length(t) > 60 THEN substring(t, 1, 60) || '…' ELSE t END AS preview FROM (SELECT row_id, {sql_trim("replace(content, chr(10), ' ')")} AS t FROM chunks)""")
@@ -262,11 +279,7 @@ def sections_unmatched(spark, d):
     return P.unmatched(P.sections(texts(spark, d), "doc_id", "text"), "doc_id")
 
 
-@query(rf"""WITH lines AS (SELECT doc_id, i AS n, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) u(i)),
-    f AS (SELECT doc_id, min(n) AS first FROM lines WHERE regexp_matches(line, '^\s*Results\s*$') GROUP BY doc_id),
-    a AS (SELECT doc_id, n, line, min(CASE WHEN regexp_matches(line, {q(V.AFTER_RESULTS)}) THEN n END) OVER (PARTITION BY doc_id) AS stop FROM lines JOIN f USING (doc_id) WHERE n > first),
-    b AS (SELECT doc_id, {sql_trim("string_agg(line, chr(10) ORDER BY n)")} AS results FROM a WHERE stop IS NULL OR n < stop GROUP BY doc_id)
-    SELECT doc_id, md5(results) AS results FROM b WHERE {sql_words("results")} > 20""")
+@query(f"WITH {SQL_REPAIR} SELECT doc_id, md5(results) AS results FROM repaired")
 def results_repair(spark, d):
     return P.results_repair(texts(spark, d), "doc_id", "text").withColumn("results", F.md5("results"))
 
@@ -274,7 +287,7 @@ def results_repair(spark, d):
 # ---- chunks
 def _built(spark, d):
     docs = texts(spark, d)
-    return C.build(docs, P.merged(P.sections(docs, "doc_id", "text"), "doc_id"), "doc_id")
+    return C.build(docs, P.merged(P.sections(docs, "doc_id", "text"), "doc_id"), "doc_id", P.results_repair(docs, "doc_id", "text"))
 
 
 @query(f"WITH {SQL_CHUNKS} SELECT doc_id, chunk_type, chunk_id, md5(content) AS content, word_count, confidence FROM built")
@@ -283,9 +296,9 @@ def chunks_built(spark, d):
 
 
 @query(rf"""WITH n AS (SELECT paper_id, count(*) AS n FROM chunks WHERE chunk_type <> 'figure' GROUP BY paper_id),
-    f AS (SELECT paper_id, CASE WHEN coalesce(caption, '') <> '' THEN caption ELSE '[Figure ' || regexp_replace(regexp_extract(figure_id, '(\d+)', 1), '^0+', '') || ' - no text found]' END AS content,
+    f AS (SELECT paper_id, CASE WHEN coalesce(caption, '') <> '' THEN caption ELSE '[Figure ' || coalesce(figure_id, '') || ' — no caption detected]' END AS content,
         row_number() OVER (PARTITION BY paper_id ORDER BY figure_id NULLS FIRST, caption NULLS FIRST) - 1 + coalesce(n, 0) AS no FROM chunks LEFT JOIN n USING (paper_id) WHERE chunk_type = 'figure')
-    SELECT paper_id, 'figure' AS chunk_type, concat_ws('__', paper_id, 'figure', CASE WHEN no > 999 THEN substring(CAST(no AS VARCHAR), 1, 3) ELSE lpad(CAST(no AS VARCHAR), 3, '0') END) AS chunk_id,
+    SELECT paper_id, 'figure' AS chunk_type, concat_ws('__', paper_id, 'figure', printf('%03d', no)) AS chunk_id,
         md5(content) AS content, CAST({sql_words("content")} AS INT) AS word_count FROM f""")
 def figure_chunks(spark, d):
     c = read(spark, d, "chunks")
@@ -356,30 +369,34 @@ def ingest_dry_run(spark, d):
 
 # ---- listings
 @query("""SELECT 'total' AS kind, 'chunks' AS name, count(*) AS n FROM chunks UNION ALL SELECT 'total', 'papers', count(DISTINCT paper_id) FROM chunks
-    UNION ALL SELECT 'type', chunk_type, count(*) FROM chunks GROUP BY chunk_type""")
+    UNION ALL SELECT 'type', chunk_type, count(*) FROM chunks GROUP BY chunk_type UNION ALL SELECT 'paper', paper_id, count(*) FROM chunks GROUP BY paper_id""")
 def collection_stats(spark, d):
     return A.stats(read(spark, d, "chunks"))
 
 
-@query("""SELECT paper_id, arg_min(title, row_id) AS title, arg_min(authors, row_id) AS authors, arg_min(year, row_id) AS year, arg_min(doi, row_id) AS doi, min(row_id) AS first_row FROM chunks WHERE paper_id <> '' GROUP BY paper_id""")
+SQL_CATALOGUE = """SELECT *, row_number() OVER (ORDER BY year DESC, first_row) AS place FROM (SELECT paper_id, arg_min(title, row_id) AS title, arg_min(authors, row_id) AS authors, arg_min(year, row_id) AS year,
+    arg_min(doi, row_id) AS doi, min(row_id) AS first_row FROM chunks WHERE paper_id <> '' GROUP BY paper_id)"""
+
+
+@query(SQL_CATALOGUE)
 def catalogue(spark, d):
     return A.publications(read(spark, d, "chunks"), "row_id")
 
 
-@query("""SELECT row_id, paper_id, chunk_type, chunk_id FROM chunks WHERE chunk_type = 'methods' AND contains(lower(paper_id), 'spring')""")
+@query("""SELECT row_id, paper_id, chunk_type, chunk_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY chunk_type, row_id) AS INT) AS place FROM chunks WHERE contains(lower(paper_id), 'spring')""")
 def chunk_listing(spark, d):
-    return A.listing(read(spark, d, "chunks"), "methods", "SPRING").select("row_id", "paper_id", "chunk_type", "chunk_id")
+    return A.listing(read(spark, d, "chunks").select("row_id", "paper_id", "chunk_type", "chunk_id"), paper="SPRING", order="row_id")
 
 
-@query("SELECT chunk_type, count(*) AS n, repeat('█', CAST(floor(count(*) / 50) AS INT)) AS bar FROM chunks GROUP BY chunk_type")
+@query("SELECT chunk_type, count(*) AS n, repeat('█', CAST(count(*) AS INT)) AS bar FROM chunks GROUP BY chunk_type")
 def type_bars(spark, d):
-    return A.bars(read(spark, d, "chunks").groupBy("chunk_type").agg(F.count("*").alias("n")), "n", 50)
+    return A.bars(read(spark, d, "chunks").groupBy("chunk_type").agg(F.count("*").alias("n")), "n", 1)
 
 
-@query("""SELECT '- **"' || arg_min(title, row_id) || '"** (' || arg_min(year, row_id) || ') — DOI: ' || arg_min(doi, row_id) AS line, paper_id, (SELECT count(DISTINCT paper_id) FROM chunks) AS total FROM chunks GROUP BY paper_id""")
+@query(f"""SELECT '- **"' || title || '"** (' || year || ') — DOI: ' || doi AS line, paper_id, place, count(*) OVER () AS total FROM ({SQL_CATALOGUE})""")
 def catalogue_lines(spark, d):
     p = A.publications(read(spark, d, "chunks"), "row_id")
-    return p.select(A.catalogue_line(F.col("title"), F.col("year"), F.col("doi")).alias("line"), "paper_id", F.lit(p.count()).cast("long").alias("total"))
+    return p.select(A.catalogue_line(F.col("title"), F.col("year"), F.col("doi")).alias("line"), "paper_id", "place", A.count_of(p).alias("total"))
 
 
 @query("""SELECT paper_id, chunk_type, row_id, md5('[' || chunk_type || '] ' || chunk_id || chr(10) || content) AS line FROM chunks""")
@@ -397,13 +414,17 @@ def page_diagnostics(spark, d):
 
 
 # ---- context of answers
-@query(f"""WITH hits AS ({VEC % "v.vec_id % 50 = 0"}), h AS (SELECT query_id, rank, c.* FROM hits JOIN chunks c ON c.row_id = hits.vec_id + 1)
-    SELECT query_id, md5('Relevant publication excerpts:' || chr(10) || chr(10) || string_agg('[' || rank || '] "' || title || '" (' || year || ') — ' || upper(chunk_type) || ' | DOI: ' || doi || chr(10) || '    ' || substring(content, 1, 1200) || chr(10), chr(10) ORDER BY rank)) AS context
-    FROM h GROUP BY query_id""")
+SQL_EXCERPT = """'[' || rank || '] "' || title || '" (' || year || ') — ' || upper(chunk_type) || ' | DOI: ' || doi || chr(10) || '    ' || substring(content, 1, 1200) || chr(10)"""
+
+
+@query(f"""WITH hits AS ({VEC % "v.vec_id % 50 = 0"}), h AS (SELECT query_id, rank, c.* FROM hits JOIN chunks c ON c.row_id = hits.vec_id + 1 WHERE chunk_type IN ('methods', 'results')),
+    c AS (SELECT query_id, 'Relevant publication excerpts:' || chr(10) || chr(10) || string_agg({SQL_EXCERPT}, chr(10) ORDER BY rank) AS context FROM h GROUP BY query_id)
+    SELECT query_id, md5(coalesce(context, 'No relevant publications found for this query.')) AS context FROM (SELECT DISTINCT query_id FROM hits) LEFT JOIN c USING (query_id)""")
 def rag_context(spark, d):
-    c = read(spark, d, "chunks").withColumn("vec_id", F.col("row_id") - 1)
-    hits = vec_topk_batch(spark, d).join(c, "vec_id")
-    return S.context(hits, ["query_id"]).withColumn("context", F.md5("context"))
+    """Hits of two types only, so that some queries have none."""
+    c = read(spark, d, "chunks").where("chunk_type in ('methods', 'results')").withColumn("vec_id", F.col("row_id") - 1)
+    hits = vec_topk_batch(spark, d)
+    return S.context_or_none(hits, hits.join(c, "vec_id"), ["query_id"]).withColumn("context", F.md5("context"))
 
 
 # ---- questions
@@ -469,6 +490,16 @@ def guard_documents(spark, d):
     return read(spark, d, "documents").select("doc_id", Q.personal(F.col("text")).alias("personal"), Q.jailbreak(F.col("text")).alias("jailbreak"))
 
 
+@query(f"""SELECT message_id, CASE WHEN coalesce(contains(lower(message), 'dose') , false) THEN 'moderation' WHEN coalesce(regexp_matches(message, {q("|".join(V.PERSONAL))}), false) THEN 'pii'
+    WHEN coalesce(regexp_matches(lower(message), {q("|".join(V.JAILBREAK_WORDS))}), false) THEN 'jailbreak' ELSE '' END AS reason FROM chat_messages""")
+def guard_providers(spark, d):
+    """The guards by providers: stand-ins for moderation and for the model."""
+    from quirework.operators.providers import PatternChat, WordModerator
+
+    m = read(spark, d, "chat_messages").select("message_id", "message")
+    return Q.guarded(m, "message", WordModerator(["dose"]), PatternChat(V.PERSONAL)).select("message_id", "reason")
+
+
 # ---- sessions
 @query(f"WITH {SQL_ONCE} SELECT session_id, turn_no, message_id FROM t QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_no DESC, message_id DESC) <= 10")
 def session_last_n(spark, d):
@@ -491,6 +522,43 @@ def prompt_messages(spark, d):
     return h.select("message_id", F.md5(F.array_join(F.transform(p, lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n")).alias("prompt"))
 
 
+SQL_HISTORY = f"""{SQL_ONCE}, hh AS (SELECT *, list(coalesce(role, '') || ': ' || coalesce(message, '')) OVER (PARTITION BY session_id ORDER BY turn_no, message_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS l FROM t),
+    h AS (SELECT *, coalesce(array_to_string(l, chr(10)) || chr(10), '') AS before FROM hh)"""
+SAID = lambda p: F.array_join(F.transform(p, lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n")
+SQL_TOLD = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {q(t)}" for k, (t, _) in Q.AGENTS.items()) + " END"
+SQL_TEMPERATURE = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {n}::DOUBLE" for k, (_, n) in Q.AGENTS.items()) + " END"
+
+
+@query(f"""WITH {SQL_HISTORY} SELECT message_id, {SQL_TEMPERATURE("category")} AS temperature, md5('system: ' || {SQL_TOLD("category")} || CASE WHEN category = 'calendar' THEN '' ELSE chr(10) || chr(10) || '{{"about":"' || category || '"}}' END || chr(10) || before || 'user: ' || coalesce(message, '')) AS prompt
+    FROM h WHERE role = 'user' AND category IN ('general', 'projects', 'calendar', 'hobbies')""")
+def agent_prompts(spark, d):
+    data = spark.createDataFrame([(c, '{"about":"%s"}' % c) for c in ("general", "projects", "hobbies")], "category string, data string")
+    h = Q.with_history(Q.once(read(spark, d, "chat_messages"))).where("role = 'user'")
+    return Q.agent_prompts(h, data).select("message_id", "temperature", F.md5(SAID(F.col("prompt"))).alias("prompt"))
+
+
+@query(f"""WITH {SQL_HISTORY}, qs AS (SELECT message_id, message, before, e.embedding, {_bounded(V.METHODS_WORDS)} AS m, {_bounded(V.RESULTS_WORDS)} AS r, {_bounded(V.OVERVIEW_WORDS)} AS o, {_bounded(V.LISTING_WORDS)} AS listed
+        FROM h LEFT JOIN embeddings e ON e.vec_id = h.message_id WHERE role = 'user' AND message_id % 50 = 0),
+    qr AS (SELECT *, CASE WHEN m AND NOT r THEN ['methods'] WHEN r AND NOT m THEN ['results', 'discussion'] WHEN o AND NOT m AND NOT r THEN ['overview', 'introduction'] END AS types FROM qs),
+    near AS (SELECT v.message_id, c.row_id, v.types IS NULL OR list_contains(v.types, c.chunk_type) AS fits, {NEAR} AS dist FROM qr v, embeddings e JOIN chunks c ON c.row_id = e.vec_id + 1 WHERE NOT listed AND v.embedding IS NOT NULL),
+    best AS (SELECT *, bool_or(fits) OVER (PARTITION BY message_id) AS any_fits FROM near),
+    hit AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY dist, row_id) AS rank FROM best WHERE fits OR NOT any_fits QUALIFY rank <= 5),
+    ctx AS (SELECT message_id, count(*) AS n_hits, 'Relevant excerpts from the publications:' || chr(10) || chr(10) || string_agg({SQL_EXCERPT}, chr(10) ORDER BY rank) AS context FROM hit JOIN chunks USING (row_id) GROUP BY message_id),
+    a AS (SELECT q.*, n_hits, context, CASE WHEN listed THEN 'catalogue' WHEN context IS NOT NULL THEN 'excerpts' ELSE 'summary' END AS agent, (SELECT count(DISTINCT paper_id) FROM chunks WHERE paper_id <> '') AS n FROM qr q LEFT JOIN ctx USING (message_id))
+    SELECT message_id AS id, agent, {SQL_TEMPERATURE("agent")} AS temperature, coalesce(n_hits, 0) AS n_hits, md5('system: ' || {SQL_TOLD("agent")} || chr(10) || chr(10)
+        || CASE agent WHEN 'catalogue' THEN 'Here are all ' || n || ' publications, listed by year:' WHEN 'summary' THEN 'Publications list (' || n || ' total)' ELSE context END || chr(10) || before || 'user: ' || coalesce(message, '')) AS prompt FROM a""")
+def publications_prompt(spark, d):
+    """From message to prompt. Questions are the user's messages whose id is divisible by 50; the vector of that number
+    stands in for a question's, so that SQL can follow, and some questions have none."""
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    h = Q.with_history(Q.once(read(spark, d, "chat_messages"))).where("role = 'user' and message_id % 50 = 0")
+    asked = h.join(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "message_id"), "message_id", "left").select(F.col("message_id").alias("id"), "message", "embedding", "history")
+    c = read(spark, d, "chunks")
+    rows = e.withColumn("row_id", F.col("vec_id") + 1).drop("vec_id").join(c.select("row_id", "chunk_type", "title", "year", "doi", "content"), "row_id")
+    out = Q.publications_prompts(asked, rows, A.publications(c, "row_id"))
+    return out.withColumn("prompt", F.md5(SAID(F.col("prompt"))))
+
+
 # ---- layout
 @query(f"""SELECT doc, string_agg(text, chr(10) ORDER BY CASE WHEN x1 - x0 > 0.65 * width THEN 0 WHEN x0 < 0.45 * width THEN 1 ELSE 2 END, y0, block_no) AS text FROM ({X.BLOCKS_SQL}) WHERE block_type = 0 GROUP BY doc""")
 def column_order(spark, d):
@@ -513,6 +581,15 @@ def composite_pages(spark, d):
     return X.pages(spark).select("doc", "page", L.is_composite(F.col("images"), F.col("words"), F.col("share")).alias("composite"))
 
 
+@query(rf"""WITH w AS (SELECT doc, page, max(width) AS width FROM ({X.BLOCKS_SQL}) GROUP BY ALL),
+    i AS (SELECT doc, page, count(*) AS n_images, string_agg(printf('%dx%dpx pos=(%.0f,%.0f) %.0f%%', width_px, height_px, x0, y0, (x1 - x0) * (y1 - y0) * 100 / (width * 800)), chr(10) ORDER BY image_no) AS images FROM ({X.IMAGES_SQL}) JOIN w USING (doc, page) GROUP BY ALL),
+    b AS (SELECT doc, page, CAST(sum({sql_words("text")}) AS BIGINT) AS words, count(*) AS n_blocks FROM ({X.BLOCKS_SQL}) WHERE block_type = 0 GROUP BY ALL),
+    f AS (SELECT doc, page, string_agg(substring({sql_trim("text")}, 1, 80), chr(10) ORDER BY block_no) AS previews FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY block_no) AS r FROM ({X.BLOCKS_SQL}) WHERE block_type = 0) WHERE r <= 5 GROUP BY ALL)
+    SELECT doc, page, n_images, coalesce(words, 0) AS words, images, coalesce(n_blocks, 0) AS n_blocks, coalesce(previews, '') AS previews FROM i LEFT JOIN b USING (doc, page) LEFT JOIN f USING (doc, page)""")
+def page_images(spark, d):
+    return L.diagnostics(X.images(spark), X.blocks(spark), 800.0)
+
+
 @query()
 def embed_hash(spark, d):
     from quirework.operators.providers import HashedWords, embedded
@@ -541,7 +618,7 @@ def deep_check_candidates(spark, d):
     return read(spark, d, "chat_messages").select("message_id", Q.needs_deep_check(F.col("message")).alias("asked"))
 
 
-@query("""SELECT '{"title":"' || title || '","year":"' || year || '","source":"' || source || '"}' AS entry FROM papers""")
+@query("""SELECT '{"title":"' || title || '","year":"' || year || '","source":"' || source || '"}' AS entry, count(*) OVER () AS n FROM papers""")
 def publication_summary(spark, d):
     return S.summary(read(spark, d, "papers"))
 
