@@ -98,18 +98,19 @@ def distances(vectors: DataFrame, key: str, vector: str, query: list[float]) ->
     return vectors.where(c.isNotNull()).select(key, F.round(1 - dot(c, v) / F.nullif(size, F.lit(0.0)), 4).alias("distance"))
 
 
-def nearest_blocks(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 5, kind: str | None = None, kinds: str | None = None, query_key: str | None = None) -> DataFrame:
-    """nearest for a stated set of queries, in blocks of at most BLOCK_BYTES of vectors, a scan of the rows for each.
+def nearest_blocks(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 5, kind: str | None = None, kinds: str | None = None, query_key: str | None = None, block: int | None = None) -> DataFrame:
+    """nearest for a stated set of queries, in blocks of at most BLOCK_BYTES of vectors, or about `block` queries, a scan of
+    the rows for each.
 
     kinds: the queries' array column of allowed kinds (see nearest). The queries are counted first; one block is the rule.
     """
     own = query_key or key
     q = queries.where(F.col(own).isNotNull() & F.col(vector).isNotNull()).select(F.col(own).cast("long").alias("i"), F.col(vector).alias("v"), *([F.col(kinds).alias("k")] if kinds else []))
     size = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    blocks = max(1, -(-size.n * (size.d or 1) * 8 // BLOCK_BYTES))
+    blocks = max(1, -(-size.n // block) if block else -(-size.n * (size.d or 1) * 8 // BLOCK_BYTES))
     out = None
     for b in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect() if blocks > 1 else q.collect()
+        rows = q.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()
         rows = [(r.i, list(r.v), *([None if r.k is None else set(r.k)] if kinds else [])) for r in rows]
         if rows:
             part = nearest(vectors, key, vector, rows, k, kind)

@@ -361,6 +361,31 @@ def incremental_upsert(spark, d):
     return out.select("chunk_id", "row_id", F.md5("content").alias("content"), F.coalesce("k", F.lit(False)).alias("was_known"))
 
 
+@query(f"""WITH l AS (SELECT chunk_id, arg_max(content, row_id) AS content, arg_max(chunk_type, row_id) AS chunk_type, min(ingested_at) AS first FROM chunks GROUP BY chunk_id)
+    SELECT chunk_id AS id, CAST({sql_words("content")} AS INT) AS words FROM l WHERE first >= TIMESTAMP '2024-03-01' AND chunk_type IN ({q_list(V.CHUNK_TYPES)}) AND {sql_words("content")} >= 20""")
+def index_increment(spark, d):
+    """What a later run indexes: chunks fit for the index whose id isn't there from before."""
+    c = read(spark, d, "chunks")
+    fit = lambda x: x.where(C.skip_reason(F.col("chunk_type"), F.col("content"), F.lit(False)).isNull())
+    cols = ["chunk_id", "content", "chunk_type", "row_id"]
+    existing = c.where(F.col("ingested_at") < F.lit("2024-03-01").cast("timestamp_ntz")).select(F.col("chunk_id").alias("id"))
+    new = fit(I.latest(c.select(*cols), "chunk_id", "row_id")).withColumnRenamed("chunk_id", "id")
+    return I.unindexed(new, existing, "id").select("id", T.word_count(F.col("content")).alias("words"))
+
+
+@query(f"""SELECT paper_id, 0 AS part, md5('[' || string_agg('{{"chunk_id":' || to_json(chunk_id) || ',"paper_id":' || to_json(paper_id) || ',"chunk_type":' || to_json(chunk_type) || ',"title":' || to_json(title) || ',"authors":' || to_json(authors) || ',"year":' || to_json(year) || ',"doi":' || to_json(doi)
+    || ',"source_file":' || to_json(source_file) || ',"content":"","word_count":' || word_count || ',"figure_id":null,"image_path":null,"caption":null,"confidence":' || to_json(confidence) || '}}', ',' ORDER BY chunk_id, word_count) || ']') AS value
+    FROM (SELECT DISTINCT * FROM (SELECT chunk_id, arg_max(paper_id, row_id) AS paper_id, arg_max(chunk_type, row_id) AS chunk_type, arg_max(title, row_id) AS title, arg_max(authors, row_id) AS authors, arg_max(year, row_id) AS year, arg_max(doi, row_id) AS doi,
+        arg_max(source_file, row_id) AS source_file, arg_max(word_count, row_id) AS word_count, arg_max(confidence, row_id) AS confidence FROM chunks GROUP BY chunk_id)) GROUP BY paper_id""")
+def paper_arrays(spark, d):
+    """The arrays with empty contents, since engines write line breaks and other marks in JSON differently."""
+    from quirework.sources.sinks import paper_arrays
+
+    none = F.lit(None).cast("string")
+    c = I.latest(read(spark, d, "chunks").withColumns({"content": F.lit(""), "figure_id": none, "image_path": none, "caption": none}), "chunk_id", "row_id")
+    return paper_arrays(c, 1_000_000).withColumn("value", F.md5("value"))
+
+
 @query("""SELECT source, CASE WHEN source IN (SELECT DISTINCT source_file FROM chunks WHERE confidence = 'regex') THEN 'skip' ELSE 'process' END AS action, count(*) AS n FROM papers GROUP BY ALL""")
 def ingest_dry_run(spark, d):
     done = read(spark, d, "chunks").where("confidence = 'regex'").select(F.col("source_file").alias("source"))

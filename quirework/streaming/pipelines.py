@@ -14,21 +14,26 @@ from quirework.operators import chunks as C
 from quirework.operators import index as I
 
 
-def ingest(spark: SparkSession, source: str, index: str, checkpoint: str, archive: str | None = None):
-    """Chunk files that arrive in a folder go into a versioned index: each batch is filtered, split and upserted as a
-    new version beside the last one, so a batch that is run again writes the same version. Gives the query."""
+def ingest(spark: SparkSession, source: str, index: str, checkpoint: str, archive: str | None = None, embedder=None):
+    """Chunk files that arrive in a folder go into a versioned index (operators/index.py): of each chunk the newest file's
+    text counts, it replaces all rows of the chunk, and only the buckets concerned are written. Gives the query.
+
+    A batch's tag is its checkpoint and number, so a batch that is run again writes its version again, and a new
+    checkpoint goes on from the versions there are.
+    """
     r = spark.readStream.schema(schemas.CHUNK).option("pathGlobFilter", "*__chunks.json").option("multiLine", True)
     if archive:
         r = r.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    arrived = r.json(source).select("*", F.col("_metadata.file_modification_time").alias("_at"), F.col("_metadata.file_path").alias("_file"))
 
     def batch(df: DataFrame, epoch: int) -> None:
-        new = I.latest(C.index_rows(df), "id", "document")
-        if epoch:
-            old = spark.read.parquet(f"{index.rstrip('/')}/v{epoch - 1:06d}").select(*new.columns)
-            new = I.upsert(old, new, "id")
-        I.write_version(new, index, epoch)
+        if df.isEmpty():
+            return
+        order = F.struct("_at", "_file", F.monotonically_increasing_id())
+        new = I.latest(df.withColumn("_order", order), "chunk_id", "_order").drop("_at", "_file", "_order")
+        I.upsert_version(df.sparkSession, index, C.index_rows(new), f"{checkpoint}#{epoch}", embedder)
 
-    return r.json(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return arrived.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def activity(messages: DataFrame, late: str = "2 days", window: str = "1 day") -> DataFrame:

@@ -107,7 +107,7 @@ def test_captions(spark, caption, n):
 
 def test_vision_reply(spark):
     out = ask(spark, L.parse_vision, "FIGURE: 1\nCAPTION: cells\nDESCRIPTION: many\nFIGURE: 2\nCAPTION: more\nDESCRIPTION: few")
-    assert [(x.figure, x.caption, x.description) for x in out] == [("1", "cells", "many"), ("2", "more", "few")]
+    assert [(x.figure, x.caption, x.description) for x in out] == [("1", "Figure 1. cells", "many"), ("2", "Figure 2. more", "few")]
 
 
 def test_cells_recall(spark):
