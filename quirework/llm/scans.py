@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 
 from quirework.llm.common import NUMBER, PAGE, WORD, bits_for, bits_of, in_bits, written
 from quirework.llm.confusable import misreadings, skeleton
-from quirework.llm.truncation import OMISSION
 
 TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 CODE = re.compile(r"(?=.*\d)[A-Z0-9]+$")
@@ -38,14 +37,37 @@ def _hash(word: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)).astype(np.int64))
 
 
+def without_folio(line: str) -> str:
+    """A line without a page number set apart at its beginning or end."""
+    bare = line.strip()
+    return FOLIO.sub("", line) if bare[:1].isdigit() or bare[-1:].isdigit() else line
+
+
+def without_omission(text: str) -> str:
+    """A text without white space and marks of omission at its end, as OMISSION has them."""
+    while True:
+        t = text.rstrip()
+        if t.endswith("…"):
+            t = t[:-1]
+        elif t.endswith("..."):
+            t = t.rstrip(".")
+        elif t.endswith("]") and (inner := t[t.rfind("[") + 1 : -1]) and (inner == "…" or len(inner) > 2 and not inner.strip(".")) and "[" in t:
+            t = t[: t.rfind("[")]
+        else:
+            return t
+        text = t
+
+
 def header_key(line: str) -> str | None:
     """A header's masked form: no page number, no running title after a comma, digits as 0; None for other lines.
 
     A header has at least two long words and all its long words begin with a capital; it ends without punctuation.
     """
-    core = FOLIO.sub("", line).split(",")[0].strip()
+    core = without_folio(line).split(",")[0].strip()
+    if not core or len(core) > 100 or core[-1] in ".!?;:" or not core[0].isalpha():
+        return None
     long = [w for w in WORD.findall(core) if len(w) > 3 and w.isalpha()]
-    if len(long) < 2 or len(core) > 100 or not all(w[0].isupper() for w in long) or core[-1] in ".!?;:" or not core[0].isalpha():
+    if len(long) < 2 or not all(w[0].isupper() for w in long):
         return None
     return re.sub(r"\d+", "0", core.casefold())
 
@@ -110,12 +132,12 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([pd.DataFrame({"word": list(words), "h": 0, "n": list(words.values())}), pd.DataFrame({"word": None, "h": h, "n": m})])
 
 
-def _forms(tokens: list[tuple[str, int, int]], text: str, known: set[str]) -> list[dict]:
-    out = []
-    for k, (t, _, _) in enumerate(tokens):
+def _forms(line: str, known: set[str]) -> list[dict]:
+    out, tokens = [], TOKEN.findall(line) if known else []
+    for k, t in enumerate(tokens):
         low = t.lower()
         if low in known and not CODE.match(t):
-            out.append({"form": low, "before": tokens[k - 1][0].lower() if k else "", "after": tokens[k + 1][0].lower() if k + 1 < len(tokens) else ""})
+            out.append({"form": low, "before": tokens[k - 1].lower() if k else "", "after": tokens[k + 1].lower() if k + 1 < len(tokens) else ""})
     return out
 
 
@@ -141,11 +163,11 @@ def apart(text: str, title: str, known: set[str]) -> list[dict] | None:
     """The lines of a value that may be damaged; None for a value without any sign of damage."""
     lines = LINES.split(text)
     kinds = _page_kinds(lines)
-    ended = OMISSION.sub("", text)[-1:] in ".!?" and not re.search(r"\.\.\s*$", text)
+    ended = without_omission(text)[-1:] in ".!?" and not text.rstrip().endswith("..")
     out, sign, fold = [], len(lines) > 1 and "page" in kinds, title.casefold()
     for k, (line, kind) in enumerate(zip(lines, kinds)):
         row = {"no": k, "text": line, "kind": kind, "header": None, "a": None, "b": None, "mark": None, "forms": []}
-        core = FOLIO.sub("", line).strip()
+        core = without_folio(line).strip()
         low = core.casefold()
         running = len(low) >= 15 and (fold.startswith(low) or "," in low and len(low.split(",", 1)[1]) > 4 and fold.startswith(low.split(",", 1)[1].strip()))
         if kind == "text" and len(lines) > 1:
@@ -156,12 +178,11 @@ def apart(text: str, title: str, known: set[str]) -> list[dict] | None:
                 row["header"] = key
                 sign = True
         if row["kind"] != "header":
-            tokens = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(line)]
-            row["forms"] = _forms(tokens, line, known)
+            row["forms"] = _forms(line, known)
         out.append(row)
     # a word broken at a line's end goes on in the next line that is neither a header nor a page number
     for k, row in enumerate(out):
-        if row["kind"] == "text" and (m := BREAK.search(row["text"])):
+        if row["kind"] == "text" and row["text"].rstrip()[-1:] in ("-", "\xad", "¬") and (m := BREAK.search(row["text"])):
             rest = next((x for x in out[k + 1 :] if x["kind"] == "text" and x["header"] is None), None)
             if rest and (b := re.match(r"\s*([^\W\d_]+)", rest["text"])) and b[1][0].islower():
                 row |= {"a": m[1].lower(), "b": b[1].lower(), "mark": m[2]}
@@ -184,7 +205,8 @@ def _apart(batches: Iterator[pd.DataFrame], marks) -> Iterator[pd.DataFrame]:
         hit = in_bits(np.fromiter(map(_hash, low), np.int64, len(low)), marks.value)
         known = {t for t, x in zip(low, hit.tolist()) if x}
         cased = {t for t in distinct if t.lower() in known and not CODE.match(t)}
-        lines = [apart(t, title or "", known) if "\n" in t or "\r" in t or not cased.isdisjoint(x) else None for t, x, title in zip(texts, lists, d["_title"])]
+        held = [not cased.isdisjoint(x) for x in lists]
+        lines = [apart(t, title or "", known if h else set()) if h or "\n" in t or "\r" in t else None for t, h, title in zip(texts, held, d["_title"])]
         keep = [x is not None for x in lines]
         if any(keep):
             yield d.loc[keep, ["_key", "field"]].assign(vid=[_hash(t) for t, k in zip(texts, keep) if k], lines=[x for x in lines if x is not None])
