@@ -66,7 +66,7 @@ def only_in(df: DataFrame, key: str, keys: DataFrame, most: int = 1 << 20) -> Da
         marks = keys.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
         df = df.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(marks), "_word").where(F.call_function("shiftright", F.col("_mask"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1)
         df = df.drop("_word", "_bit", "_mask")
-    return df.join(keys, key, "left_semi")
+    return df.join(keys, key)  # a semi-join would be planned below the filter
 
 
 #: Bits that stand for a key in the bitmaps that Python reads.
