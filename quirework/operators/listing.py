@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirework.functions import text as T
+
 
 def stats(chunks: DataFrame) -> DataFrame:
     """kind, name, n: total chunks, distinct papers, chunks of each type and of each paper."""
@@ -63,6 +65,18 @@ def quality(pages: DataFrame, key: str, words: str) -> DataFrame:
     return q.select(key, F.round(0.6 * F.least(F.col("s") / F.col("n") / 300.0, F.lit(1.0)) + 0.4 * F.col("good") / F.col("n"), 3).alias("quality_score"))
 
 
+def assembled(chunks: DataFrame, key: str, order: str, text: str, most: int = 10_000) -> DataFrame:
+    """key, part, full_text, word_count: each paper's texts in order, with a blank line between.
+
+    A paper of at most `most` rows is one part. One of more is divided by equal ranges of `order` (a number), as many as
+    its rows ask for, so that no task and no value holds a whole volume; parts joined in order are the text.
+    """
+    n = chunks.groupBy(key).agg(F.ceil(F.count("*") / most).alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high"))
+    c = chunks.join(n, key).withColumn("part", F.floor((F.col(order) - F.col("_low")) * F.col("_n") / (F.col("_high") - F.col("_low") + 1)).cast("int"))
+    g = c.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("p"), F.sum(T.word_count(F.col(text))).alias("word_count"))
+    return g.select(key, "part", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("full_text"), "word_count")
+
+
 def repair_weak_pages(primary: DataFrame, fallback: DataFrame, key: str, weak: int = 50) -> DataFrame:
     """key, page_number, word_count, replaced: pages of fewer than `weak` words from the fallback if it has more."""
     f = fallback.select(key, "page_number", F.col("word_count").alias("_f"))

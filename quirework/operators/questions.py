@@ -79,20 +79,40 @@ def last_messages(messages: DataFrame, n: int = 10) -> DataFrame:
     return messages.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+#: Turn numbers of one block of a session.
+BLOCK = 1000
+
+
+def _with_carried(messages: DataFrame, n: int) -> DataFrame:
+    """messages in blocks of their session (_block), each with the last n turns of the blocks before (_carried), so that a
+    session's windows are as large as a block. The last turns of each block, at most n, meet in a window over blocks."""
+    m = messages.withColumn("_block", F.floor(F.coalesce("turn_no", F.lit(0)) / BLOCK)).withColumn("_carried", F.lit(False))
+    cols = [c for c in m.columns if c not in ("session_id", "_block", "_carried")]
+    last = m.withColumn("_rn", F.row_number().over(W.partitionBy("session_id", "_block").orderBy(F.desc("turn_no"), F.desc("message_id")))).where(F.col("_rn") <= n)
+    last = last.groupBy("session_id", "_block").agg(F.array_sort(F.collect_list(F.struct("turn_no", "message_id", *(c for c in cols if c not in ("turn_no", "message_id"))))).alias("l"))
+    # a block has a turn at least, so the last n turns lie in the n blocks before
+    near = F.flatten(F.collect_list("l").over(W.partitionBy("session_id").orderBy("_block").rowsBetween(-n, -1)))
+    given = last.withColumn("near", near).select("session_id", "_block", F.explode(F.slice("near", F.greatest(F.size("near") - n + 1, F.lit(1)), F.lit(n))).alias("x"))
+    return m.unionByName(given.select("session_id", "_block", F.lit(True).alias("_carried"), *(F.col(f"x.{c}").alias(c) for c in cols)))
+
+
+def _before(n: int) -> W:
+    return W.partitionBy("session_id", "_block").orderBy("turn_no", "message_id").rowsBetween(-n, -1)
+
+
 def with_history(messages: DataFrame, n: int = 10) -> DataFrame:
     """messages with the n turns before each, as an array of role and content."""
-    before = W.partitionBy("session_id").orderBy("turn_no", "message_id").rowsBetween(-n, -1)
     turn = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("message", F.lit("")).alias("content"))
-    return messages.withColumn("history", F.collect_list(turn).over(before))
+    return _with_carried(messages, n).withColumn("history", F.collect_list(turn).over(_before(n))).where("not _carried").drop("_block", "_carried")
 
 
 def with_effective_category(messages: DataFrame, n: int = 10) -> DataFrame:
     """messages with effective_category: for a follow-up the topic of the newest assistant turn with one among the n
     turns before, else the message's own category."""
-    before = W.partitionBy("session_id").orderBy("turn_no", "message_id").rowsBetween(-n, -1)
     spoken = F.when(F.col("role") == "assistant", topic(F.col("message")))
-    latest = F.last(spoken, ignorenulls=True).over(before)
-    return messages.withColumn("effective_category", F.when(is_follow_up(F.col("message")), F.coalesce(latest, F.col("category"))).otherwise(F.col("category")))
+    latest = F.last(spoken, ignorenulls=True).over(_before(n))
+    out = _with_carried(messages, n).withColumn("effective_category", F.when(is_follow_up(F.col("message")), F.coalesce(latest, F.col("category"))).otherwise(F.col("category")))
+    return out.where("not _carried").drop("_block", "_carried")
 
 
 def dispatch(message: Column, category: Column) -> Column:

@@ -18,6 +18,7 @@ from quirework.operators import questions as Q
 from quirework.operators import search as S
 from quirework.operators import sections as P
 from quirework.plans import fixtures as X
+from quirework.storage import scratch, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,8 +39,8 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents' ids and texts."""
-    return read(spark, d, "documents").select("doc_id", "text")
+    """Documents' ids and texts; a small table is spread over the cores."""
+    return spread(read(spark, d, "documents").select("doc_id", "text"))
 
 
 def q(pattern: str) -> str:
@@ -251,11 +252,13 @@ def weak_page_repair(spark, d):
     )
 
 
-@query(rf"""SELECT paper_id, md5(string_agg(content, chr(10) || chr(10) ORDER BY row_id)) AS full_text, CAST(sum({sql_words("content")}) AS BIGINT) AS word_count FROM chunks WHERE {sql_trim("content")} <> '' GROUP BY paper_id""")
+@query(rf"""WITH c AS (SELECT paper_id, row_id, content FROM chunks WHERE {sql_trim("content")} <> ''),
+    n AS (SELECT paper_id, count(*) AS n, min(row_id) AS low, max(row_id) AS high FROM c GROUP BY paper_id)
+    SELECT paper_id, CAST(part AS INT) AS part, md5(string_agg(content, chr(10) || chr(10) ORDER BY row_id)) AS full_text, CAST(sum({sql_words("content")}) AS BIGINT) AS word_count
+    FROM (SELECT c.*, floor((row_id - low) * ceil(n / 1000.0) / (high - low + 1)) AS part FROM c JOIN n USING (paper_id)) GROUP BY ALL""")
 def full_text_assembly(spark, d):
     c = read(spark, d, "chunks").where(T.trim_ws(F.col("content")) != "")
-    g = c.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("row_id", "content"))).alias("p"), F.sum(T.word_count(F.col("content"))).alias("word_count"))
-    return g.select("paper_id", F.md5(F.array_join(F.transform("p", lambda x: x["content"]), "\n\n")).alias("full_text"), "word_count")
+    return A.assembled(c, "paper_id", "row_id", "content", 1000).withColumn("full_text", F.md5("full_text"))
 
 
 # ---- sections
@@ -676,8 +679,8 @@ def vec_ann_batch(spark, d):
     from quirework.operators import cells
 
     e = read(spark, d, "embeddings")
-    c = cells.fit(e, "vec_id", "embedding")
-    return cells.search(cells.index(e, "vec_id", "embedding", c), "vec_id", e.where(F.col("vec_id") % 50 == 0), "embedding", c)
+    index = cells.build(e, "vec_id", "embedding", scratch(spark, "cells"))
+    return cells.search(index, e.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding")
 
 
 @query()

@@ -1,5 +1,6 @@
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,15 +111,55 @@ def test_vision_reply(spark):
     assert [(x.figure, x.caption, x.description) for x in out] == [("1", "Figure 1. cells", "many"), ("2", "Figure 2. more", "few")]
 
 
-def test_cells_recall(spark):
+def test_cells_recall(spark, tmp_path):
     from quirework.operators import cells
 
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     asked = e.where("vec_id % 50 = 0")
-    c = cells.fit(e, "vec_id", "embedding")
-    found = {(r.query_id, r.vec_id) for r in cells.search(cells.index(e, "vec_id", "embedding", c), "vec_id", asked, "embedding", c).collect()}
+    c = cells.build(e, "vec_id", "embedding", str(tmp_path / "all"))
+    assert sum(c.sizes.values()) == e.count()
     exact = {(r.query_id, r.vec_id) for r in S.nearest_blocks(e, "vec_id", "embedding", asked).collect()}
-    assert len(found & exact) / len(exact) >= 0.9
+    for block in (10_000, 7):
+        found = {(r.query_id, r.vec_id) for r in cells.search(c, asked, "vec_id", "embedding", block=block).collect()}
+        assert len(found & exact) / len(exact) >= 0.9
+    # where vectors lie in groups, few cells are read
+    r = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in r.normal(size=8) * 0.05 + np.eye(8)[k % 8]], "clash") for k in range(1600)] + [(9000, None, "")]
+    e = spark.createDataFrame(rows, "id long, v array<float>, cell string")
+    c = cells.build(e, "id", "v", str(tmp_path / "groups"))
+    asked = e.where("id % 50 = 0")
+    found, exact = ({(x.query_id, x.id) for x in df.collect()} for df in (cells.search(c, asked, "id", "v"), S.nearest_blocks(e, "id", "v", asked)))
+    assert len(found & exact) / len(exact) >= 0.9 and c.share_read(np.array([x[1] for x in rows[:1600:50]])) < 0.3
+    assert cells.search(cells.build(e.limit(0), "id", "v", str(tmp_path / "none")), asked, "id", "v").count() == 0
+
+
+def test_sessions_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    turns = {(s, int(t)) for s in ("a", "b", None) for t in r.integers(0, 60, 40)} | {("c", 5000 * k) for k in range(12)}
+    rows = [(k, s, t, "assistant" if k % 3 else "user", "my paper" if k % 7 == 0 else "yes" if k % 3 == 0 else f"m{k}", None) for k, (s, t) in enumerate(sorted(turns, key=str))]
+    df = spark.createDataFrame(rows, "message_id long, session_id string, turn_no int, role string, message string, category string")
+
+    def both():
+        h = {x.message_id: [y.content for y in x.history] for x in Q.with_history(df, 4).collect()}
+        return h, {x.message_id: x.effective_category for x in Q.with_effective_category(df, 4).collect()}
+
+    want = both()
+    by = sorted(rows, key=lambda x: (str(x[1]), x[2], x[0]))
+    for k, x in enumerate(by):
+        assert want[0][x[0]] == [y[4] for y in by[max(0, k - 4) : k] if y[1] == x[1]]
+    assert len(want[0]) == len(rows) and "publications" in want[1].values()
+    monkeypatch.setattr(Q, "BLOCK", 7)
+    assert both() == want
+
+
+def test_texts_in_parts(spark):
+    from quirework.operators import listing
+
+    rows = [(k, "hot", f"t{k}") for k in range(100)] + [(500 + k, "small", f"s{k}") for k in range(3)]
+    df = spark.createDataFrame(rows, "row_id long, k string, content string")
+    got = sorted((x.k, x.part, x.full_text) for x in listing.assembled(df, "k", "row_id", "content", 30).collect())
+    assert len(got) == 5 and "\n\n".join(x[2] for x in got if x[0] == "hot") == "\n\n".join(f"t{k}" for k in range(100))
+    assert got[-1] == ("small", 0, "s0\n\ns1\n\ns2")
 
 
 def test_headers_by_provider(spark):
