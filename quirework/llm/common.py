@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirework.storage import scratch, written  # noqa: F401
+
 #: A longest run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
 
@@ -22,36 +22,6 @@ NUMBER = re.compile(r"\s*\d+\s*$")
 BITS_PER_WORD = 63
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, of the session or the context. Only on one machine (tests) a
-    folder of our own stands in for it; on a cluster it must be set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = own.get() if own.isDefined() else None
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="quirework-")
-        shared_dir.own = at
-    return at.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; what is there goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table written to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def only_in(df: DataFrame, key: str, keys: DataFrame, most: int = 1 << 20) -> DataFrame:
     """The rows of df whose key is among the keys (a column of that name, without repeats).
 

@@ -38,15 +38,16 @@ class _Index:
         self.item = np.repeat(np.arange(len(grams)), sizes)[order]
         self.place = (np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
 
-    def known(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(h), bool)
-        at = np.searchsorted(self.hashes, h)
-        return self.hashes[np.minimum(at, len(self.hashes) - 1)] == h
+        # a bitmap of the hashes' last bits: most of a corpus's windows end there
+        self.bits = max(16, (16 * len(h)).bit_length())
+        self.some = np.zeros(1 << self.bits, bool)
+        self.some[self.hashes & np.uint64((1 << self.bits) - 1)] = True
 
-    def places(self, h: np.uint64) -> list[tuple[int, int]]:
-        a, b = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        return list(zip(self.item[a:b].tolist(), self.place[a:b].tolist()))
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and of each of these the first of its places and the one after the last."""
+        at = np.flatnonzero(self.some[h & np.uint64((1 << self.bits) - 1)])
+        low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
+        return at[low < high], low[low < high], high[low < high]
 
 
 _built: dict = {}
@@ -61,11 +62,12 @@ def _index_of(shared, n: int) -> _Index:
     return _built[key]
 
 
-def passages(words: list[str], hits: np.ndarray, hashes: np.ndarray, index: _Index, n: int) -> list[tuple[int, int, int]]:
-    """(item_id, first word, word after the last) of the verified, longest shared passages that begin at a hit."""
+def passages(words: list[str], hits: list[tuple[int, int, int]], index: _Index, n: int) -> list[tuple[int, int, int]]:
+    """(item_id, first word, word after the last) of the verified, longest shared passages that begin at a hit (word, and
+    the range of its hash's places)."""
     out, covered = [], {}
-    for p in hits.tolist():
-        for k, q in index.places(hashes[p]):
+    for p, low, high in hits:
+        for k, q in zip(index.item[low:high].tolist(), index.place[low:high].tolist()):
             item_id, ws = index.items[k]
             if covered.get((k, p - q), -1) >= p or words[p : p + n] != ws[q : q + n]:
                 continue
@@ -86,14 +88,13 @@ def _scan(batches: Iterator[pd.DataFrame], shared, n: int) -> Iterator[pd.DataFr
         if len(codes) >= n:
             h = runs_hash(word_hashes(distinct)[codes], n)
             firsts = np.concatenate([[0], np.cumsum(counts)])
-            hits = np.flatnonzero(index.known(h))
+            hits, low, high = index.hits(h)
             doc = np.searchsorted(firsts, hits, "right") - 1
             ok = hits + n <= firsts[doc + 1]
-            hits, doc = hits[ok], doc[ok]
-            for k in np.unique(doc).tolist():
-                a = firsts[k]
+            found = pd.DataFrame({"doc": doc[ok], "p": (hits - firsts[doc])[ok], "low": low[ok], "high": high[ok]})
+            for k, g in found.groupby("doc"):
                 spans = [m.span() for m in WORD.finditer(texts[k])]
-                for item_id, x, y in passages(lower_words(texts[k]), hits[doc == k] - a, h[a : firsts[k + 1]], index, n):
+                for item_id, x, y in passages(lower_words(texts[k]), list(zip(g.p.tolist(), g.low.tolist(), g.high.tolist())), index, n):
                     out.append((d.doc_id.iloc[k], d.text_hash.iloc[k], item_id, spans[x][0], spans[y - 1][1], y - x))
         yield pd.DataFrame(out, columns=["doc_id", "text_hash", "item_id", "start", "stop", "n_words"])
 

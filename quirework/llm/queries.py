@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quirework.storage import spread
+
 
 def table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table; spread over the cores where its files give fewer partitions than there are."""
-    t = spark.read.parquet(f"{d}/{name}.parquet").select(*columns)
-    n = spark.sparkContext.defaultParallelism
-    return t if t.rdd.getNumPartitions() >= n else t.repartition(n)
+    """Columns of a table; a small one is spread over the cores."""
+    return spread(spark.read.parquet(f"{d}/{name}.parquet").select(*columns))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
