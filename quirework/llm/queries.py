@@ -89,6 +89,13 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return _versions(spark, d).classes()
 
 
+def p5_close(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of records that share four fifths of their runs of five words."""
+    from quirework.llm.versions import CloseVersions
+
+    return CloseVersions(table(spark, d, "chunks", "chunk_id", "title", "content"), "chunk_id", "title", "content", threshold=0.8, run=5).classes()
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     from quirework.llm.packing import packed
 
@@ -125,7 +132,7 @@ def p8_profiles(spark: SparkSession, d: str) -> DataFrame:
     return page_profiles(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_repaired, p3_found, p3_pieces, p3_file_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_containers, p6_bucket_batches, p7_found, p7_clean, p8_found, p8_profiles)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_repaired, p3_found, p3_pieces, p3_file_pieces, p4_found, p4_entities, p5_found, p5_groups, p5_close, p6_containers, p6_bucket_batches, p7_found, p7_clean, p8_found, p8_profiles)}
 
 SQL: dict[str, str] = {
     "p3_found": r"""

@@ -109,13 +109,22 @@ class Versions:
     def __init__(self, df: DataFrame, key: str, title: str, content: str, threshold: float = 0.8, run: int = 5, least_words: int = 1, each: int = 4, groups: int = 60):
         """A record is title, a space and content; null counts as empty. Contents of fewer than least_words words, and
         records of fewer than `run` words, take no part. Texts are told apart by a hash of 64 bits."""
-        self.key, self.threshold, self.run, self.orders = key, threshold, run, each * groups
+        self.orders = each * groups
+        self._read(df, key, title, content, threshold, run, least_words)
+        self._post(self._texts().mapInArrow(lambda it: _sign(it, least_words, run, each, groups), "text_id bigint, keys array<bigint>, sketch array<bigint>"))
+
+    def _read(self, df: DataFrame, key: str, title: str, content: str, threshold: float, run: int, least_words: int) -> None:
+        self.key, self.threshold, self.run = key, threshold, run
         t, c = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(content), F.lit(""))
         rows = df.select(F.col(key).alias("_key"), t.alias("title"), c.alias("content")).withColumn("text_id", F.xxhash64("title", F.lit("\x01"), "content"))
         # n words have at least 2 n - 1 characters
-        rows = rows.where(F.length("content") >= 2 * least_words - 1)
-        self._rows = rows.withColumnRenamed("_key", key)
-        sign = rows.select("text_id", "title", "content").mapInArrow(lambda it: _sign(it, least_words, run, each, groups), "text_id bigint, keys array<bigint>, sketch array<bigint>")
+        self._rows = rows.where(F.length("content") >= 2 * least_words - 1).withColumnRenamed("_key", key)
+
+    def _texts(self) -> DataFrame:
+        return self._rows.select("text_id", "title", "content")
+
+    def _post(self, sign: DataFrame) -> None:
+        """sign: text_id, keys (prefixes), sketch (what the other orders tell)."""
         self.signed = written(sign, "signed")
         # texts that share a prefix with another: prefixes are counted, which a hot one only costs a row for each task,
         # and the posts of the others end at a bitmap of the shared ones before they are shuffled
@@ -193,6 +202,76 @@ class Versions:
         return each.join(same, "text_id").join(label, "text_id", "left").select(self.key, F.coalesce("label", "text_id").alias("class_id"), "n_same")
 
 
+class CloseVersions(Versions):
+    """Versions for high thresholds, by exact prefixes under several global orders: no pair is lost.
+
+    Two records at least as similar as the threshold t share a token among the first n - ceil(t n) + 1 of their n tokens
+    under every global order. The orders put rare tokens first (by a table of `buckets` counts over all records, which
+    may be shared by several tokens: an order needs no exact counts) and break ties by seeded hashes. Candidates share a
+    prefix token under the first order, and the filters of the other orders are intersected inside the join. At a low
+    threshold prefixes hold so many tokens that Versions is the cheaper way.
+    """
+
+    def __init__(self, df: DataFrame, key: str, title: str, content: str, threshold: float = 0.8, run: int = 5, least_words: int = 1, orders: int = 3, buckets: int = 1 << 20):
+        """As Versions; buckets is a power of two: at most so many rows of 12 bytes come to the driver, a byte for each
+        bucket is broadcast."""
+        self.orders = orders
+        self._read(df, key, title, content, threshold, run, least_words)
+        counts = self._texts().mapInArrow(lambda it: _bucket_counts(it, least_words, run, buckets), "bucket int, n bigint")
+        table = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        levels = np.zeros(buckets, np.uint8)
+        levels[table.column("bucket").to_numpy()] = np.log2(table.column("n").to_numpy())
+        shared = df.sparkSession.sparkContext.broadcast(levels)
+        sign = self._texts().mapInArrow(lambda it: _prefix_sign(it, least_words, run, threshold, orders, shared), "text_id bigint, keys array<bigint>, sketch struct<n:int,others:array<array<bigint>>>")
+        self._post(sign)
+
+    def _near(self, a: str, b: str) -> Column:
+        """Whether sizes allow the threshold and the prefixes under each other order share a token."""
+        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        out = (n >= m * self.threshold - 1e-9) & (m >= n * self.threshold - 1e-9)
+        for k in range(self.orders - 1):
+            out = out & F.arrays_overlap(F.col(f"{a}.others")[k], F.col(f"{b}.others")[k])
+        return out
+
+
+def _fresh(batches: Iterator[pa.RecordBatch], least_words: int, run: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Texts that take part, each once for a task: their ids and their different tokens, sorted."""
+    seen: set[int] = set()
+    for b in batches:
+        ids, titles, contents = (b.column(k).to_pylist() for k in range(3))
+        for at in range(0, len(ids), 2000):
+            part = [k for k in range(at, min(at + 2000, len(ids))) if ids[k] not in seen and not seen.add(ids[k])]
+            _, _, n_words = flat_words([contents[k] for k in part])
+            part = [k for k, n in zip(part, n_words.tolist()) if n >= least_words]
+            tokens, counts = token_sets([f"{titles[k]} {contents[k]}" for k in part], run)
+            sets = [np.unique(x) for x in np.split(tokens, np.cumsum(counts)[:-1])] if part else []
+            yield [ids[k] for k, x in zip(part, sets) if len(x)], [x for x in sets if len(x)]
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch], least_words: int, run: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(buckets, np.int64)
+    for _, sets in _fresh(batches, least_words, run):
+        if sets:
+            total += np.bincount((np.concatenate(sets) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
+
+
+def _prefix_sign(batches: Iterator[pa.RecordBatch], least_words: int, run: int, threshold: float, orders: int, shared) -> Iterator[pa.RecordBatch]:
+    levels, seeds = shared.value, order_seeds(orders)
+    kind = pa.struct([("n", pa.int32()), ("others", pa.list_(pa.list_(pa.int64())))])
+    for ids, sets in _fresh(batches, least_words, run):
+        keys, sketches = [], []
+        for u in sets:
+            level = levels[(u & np.uint64(len(levels) - 1)).astype(np.int64)]
+            size = len(u) - math.ceil(threshold * len(u) - 1e-9) + 1
+            with np.errstate(over="ignore"):
+                first = [u[np.lexsort((mix(u * m), level))[:size]].view(np.int64).tolist() for m in seeds]
+            keys.append(first[0])
+            sketches.append({"n": len(u), "others": first[1:]})
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, kind)], ["text_id", "keys", "sketch"])
+
+
 def _labels(links: DataFrame) -> DataFrame:
     """text_a, label: the least text that links lead to. Labels spread along links and jump to their own labels, so that a
     chain of n links needs about log n rounds; each round is a written table."""

@@ -60,6 +60,18 @@ def test_versions_against_brute_force(spark, seed):
     assert len({(find(k), group[k]) for k in group}) == len({find(k) for k in group}) == len(set(group.values()))
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.9])
+def test_close_versions_against_brute_force(spark, threshold):
+    rows = version_rows(3)
+    df = spark.createDataFrame([(*x, "clash") for x in rows], "id string, t string, c string, text_id string")
+    v = versions.CloseVersions(df, "id", "t", "c", threshold, 5, 40)
+    want = near(rows, 5, 40, threshold)
+    assert want and {tuple(r) for r in v.pairs().collect()} == want
+    group = {r.id: r.class_id for r in v.classes().collect()}
+    assert all(group[a] == group[b] for a, b in want)
+    assert versions.CloseVersions(df.limit(0), "id", "t", "c").classes().count() == 0
+
+
 def test_versions_of_hot_text(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(f"k{i}", "t", text) for i in range(200)] + [("x", "t", text + " more"), (None, "t", text)]
@@ -136,6 +148,19 @@ def test_name_parts():
     assert names.monge_elkan(["cons", "cell"], ["cell", "consortium"]) > 0.9
 
 
+def test_names_of_a_large_town(spark):
+    """A common family name: what is compared are spellings of the same name and initial, not all rows or all bearers."""
+    given = ["Anna", "Boris", "Clara", "Daniel", "Emma", "Frank", "Gerda", "Hugo", "Ivan", "Karl", "Laura", "Marta", "Wanda", "Otto", "Petra", "Quentin", "Rosa", "Sven", "Tilda", "Urs"]
+    a = "Institute of Imaging, Kibi"
+    typed = lambda g: [f"{g} Orlovtonen", f"Orlovtonen, {g}", f"{g[0]}. Orlovtonen", f"{g} Orlovotnen", f"Dr. {g} Orlovtonen"]
+    rows = [(k, typed(given[k % 20])[k // 20 % 5], a) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, n string, a string")
+    n = names.Names(df, "id", "n", "a")
+    assert n.nodes.count() == 100 and n.links.count() <= 20 * 10
+    group = {r.id: r.entity for r in n.credits(df, "n", "a").collect()}
+    assert len(group) == 3000 and len(set(group.values())) == 20 and all(group[k] == group[k % 20] for k in group)
+
+
 def test_names(spark):
     a = "Institute of Imaging, Kibi"
     rows = [
