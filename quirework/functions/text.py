@@ -85,13 +85,24 @@ def is_boilerplate(line: Column, strict: bool = False) -> Column:
     return trim_ws(line).rlike("(?i)" + V.any_of(p + ([r"\b(research|article)\b"] if strict else [])))
 
 
+FIGURE_LABEL = r"(?i)^(figure|fig\.|table|scheme)\s*\d+\s*[.\-]?\s*$"
+
+
+def is_figure_label(line: Column) -> Column:
+    """Whether a line is a bare figure label."""
+    return trim_ws(line).rlike(FIGURE_LABEL)
+
+
 def strip_boilerplate(lines: Column) -> Column:
     """An array of lines without boilerplate, bare numbers or bare figure labels."""
-    label = r"(?i)^(figure|fig\.|table|scheme)\s*\d+\s*[.\-]?\s*$"
-    return F.filter(lines, lambda l: ~is_boilerplate(l) & ~trim_ws(l).rlike(label))
+    return F.filter(lines, lambda l: ~is_boilerplate(l) & ~is_figure_label(l))
+
+
+def body_text(lines: Column) -> Column:
+    """An array of lines as one text with at most one blank line on end."""
+    return trim_ws(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
 def section_body(lines: Column) -> Column:
     """An array of lines as a section's text: no boilerplate, bare numbers or bare figure labels."""
-    kept = strip_boilerplate(lines)
-    return trim_ws(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    return body_text(strip_boilerplate(lines))

@@ -28,8 +28,9 @@ def canonical(header: Column) -> Column:
     return out.otherwise("other")
 
 
-def is_header(line: Column) -> Column:
-    """Gates in order of cost: a known alias is taken at once, the rest must look like a header and not like text."""
+def is_header(line: Column, boilerplate: Column | None = None) -> Column:
+    """Gates in order of cost: a known alias is taken at once, the rest must look like a header and not like text.
+    boilerplate: whether the line is that, where it is known."""
     s = T.trim_ws(line)
     norm = T.unspaced(s)
     last = F.lower(F.regexp_extract(s, r"([^ \t\n\r\f\x0B]+)$", 1))
@@ -46,7 +47,7 @@ def is_header(line: Column) -> Column:
     )
     return (
         F.when((s == "") | (F.length(s) > 80), False)
-        .when(T.is_boilerplate(s), False)
+        .when(T.is_boilerplate(s) if boilerplate is None else boilerplate, False)
         .when(canonical(s) != "other", True)
         .when(refused, False)
         .otherwise(norm.rlike(V.any_of(V.HEADER_SHAPES)))
@@ -66,13 +67,15 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
     acknowledgements or supplementary.
     """
     w = W.partitionBy(key).orderBy("line_no")
-    l = lines(df, key, text).withColumn("head", is_header(F.col("line"))).withColumn("section_no", F.sum(F.col("head").cast("int")).over(w))
+    # each line is matched once: what is no part of a body is known before lines are shuffled
+    l = lines(df, key, text).withColumn("boiler", T.is_boilerplate(F.col("line"))).withColumn("head", is_header(F.col("line"), F.col("boiler")))
+    l = l.withColumn("kept", ~F.col("head") & ~F.col("boiler") & ~T.is_figure_label(F.col("line"))).withColumn("section_no", F.sum(F.col("head").cast("int")).over(w))
     s = l.groupBy(key, "section_no").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("line_no", "line")))).alias("body"),
+        F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("line_no", "line")))).alias("body"),
         F.max(F.when(F.col("head"), F.col("line"))).alias("raw"),
         F.min("line_no").alias("start_line"),
     )
-    s = s.withColumn("content", T.section_body(F.transform("body", lambda x: x["line"])))
+    s = s.withColumn("content", T.body_text(F.transform("body", lambda x: x["line"])))
     s = s.where((F.col("section_no") > 0) | (T.word_count(F.col("content")) > 30))
     own = F.when(F.col("section_no") == 0, "overview").otherwise(canonical(F.col("raw")))
     s = s.withColumn("own", own)

@@ -395,6 +395,22 @@ def ingest_dry_run(spark, d):
     return I.plan_ingest(read(spark, d, "papers").select("source"), done, "source").groupBy("source", "action").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT paper_id, CASE WHEN quality_score IS NOT NULL AND source <> '' THEN 'skip' ELSE 'process' END AS action, CASE WHEN quality_score IS NOT NULL THEN page_count ELSE 0 END AS page_count, CASE WHEN quality_score IS NOT NULL THEN coalesce(n, 0) ELSE 0 END AS pages
+    FROM (SELECT *, count(*) OVER (PARTITION BY source) AS same FROM papers) p LEFT JOIN (SELECT paper_id, count(*) AS n FROM paper_pages GROUP BY paper_id) USING (paper_id) WHERE same = 1""")
+def manifest_lookup(spark, d):
+    """Papers found again by the manifests of those that were extracted: manifests as JSON, read back, joined by source.
+    Papers that share a source's name are left out, in SQL too."""
+    from quirework import schemas
+    from quirework.sources.sinks import manifests
+
+    p = read(spark, d, "papers")
+    p = p.join(p.groupBy("source").agg(F.count("*").alias("same")).where("same = 1").select("source"), "source")
+    m = manifests(p.where("quality_score is not null"), read(spark, d, "paper_pages")).select(F.from_json("value", schemas.MANIFEST).alias("m"))
+    m = m.select(F.col("m.metadata.source").alias("source"), F.col("m.page_count").alias("page_count"), F.size("m.pages").cast("long").alias("pages"))
+    out = I.plan_ingest(p.select("paper_id", "source"), m, "source").join(m, "source", "left")
+    return out.select("paper_id", "action", F.coalesce("page_count", F.lit(0)).alias("page_count"), F.coalesce("pages", F.lit(0)).cast("long").alias("pages"))
+
+
 # ---- listings
 @query("""SELECT 'total' AS kind, 'chunks' AS name, count(*) AS n FROM chunks UNION ALL SELECT 'total', 'papers', count(DISTINCT paper_id) FROM chunks
     UNION ALL SELECT 'type', chunk_type, count(*) FROM chunks GROUP BY chunk_type UNION ALL SELECT 'paper', paper_id, count(*) FROM chunks GROUP BY paper_id""")

@@ -127,6 +127,16 @@ def test_index_of_files(spark, tmp_path):
     assert index.index_file(spark, file, at) == 1 and index.init_index(spark, str(tmp_path / "src"), at).count() == 3
 
 
+def test_command(spark, tmp_path):
+    from quirework.__main__ import main
+
+    src, at = str(tmp_path / "src"), str(tmp_path / "index")
+    put(tmp_path / "src", "a", [chunk(0, "w " * 30), chunk(1, "w " * 30)])
+    assert main(["plan", src, at]) == 1 and main(["build", src, at, "--vectors", "4"]) == 2 and main(["plan", src, at]) == 0
+    assert main(["build", src, at]) == 0 and main(["build", src, at, "--force"]) == 2
+    assert main(["stream", src, at, str(tmp_path / "cp")]) == 3 and index.read_index(spark, at).count() == 2
+
+
 def test_arrays_and_figures(spark, tmp_path):
     c = spark.createDataFrame([chunk(k, "é\n") for k in range(5)] + [{**chunk(9, "x"), "paper_id": "q"}], schemas.CHUNK)
     got = {(r.paper_id, r.part): json.loads(r.value) for r in sinks.paper_arrays(c).collect()}
