@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,6 +81,19 @@ def bits_for(n: int, each: int = 32, most: int = 1 << 28) -> int:
     return min(most, 1 << max(12, (max(1, n) * each - 1).bit_length()))
 
 
+def by_size(texts: list[str], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Slices (from, to) of texts with about `most` characters each, one text at least, so that arrays over their words stay
+    small whatever a batch holds."""
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield at, k
+            at, size = k, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def lower_words(text: str) -> list[str]:
     """The words of a text in lower case, one for each match of WORD in the text as it stands."""
     low = text.lower()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirework.llm.common import WORD, bits_for, bits_of, flat_words, in_bits, lower_words, runs_hash, word_hashes, written
+from quirework.llm.common import WORD, bits_for, bits_of, by_size, flat_words, in_bits, lower_words, runs_hash, word_hashes, written
 
 HITS = "doc_id bigint, text_hash bigint, item_id bigint, start bigint, stop bigint, n_words bigint"
 
@@ -81,7 +81,7 @@ def passages(words: list[str], hits: list[tuple[int, int, int]], index: _Index,
 
 def _scan(batches: Iterator[pd.DataFrame], shared, n: int) -> Iterator[pd.DataFrame]:
     index = _index_of(shared, n)
-    for d in batches:
+    for d in (b.iloc[x:y] for b in batches for x, y in by_size(list(b.text))):
         out = []
         texts = list(d.text)
         codes, distinct, counts = flat_words(texts)

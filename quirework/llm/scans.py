@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.llm.common import NUMBER, PAGE, WORD, bits_for, bits_of, in_bits, written
+from quirework.llm.common import NUMBER, PAGE, WORD, bits_for, bits_of, by_size, in_bits, written
 from quirework.llm.confusable import misreadings, skeleton
 
 TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
@@ -90,7 +90,7 @@ def header_places(text: str) -> Iterator[tuple[str, str, str, bool]]:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for d in batches:
+    for d in (b.iloc[x:y] for b in batches for x, y in by_size(list(b["_value"]))):
         texts = list(d["_value"])
         lists = [TOKEN.findall(t) for t in texts]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -197,7 +197,7 @@ def apart(text: str, title: str, known: set[str]) -> list[dict] | None:
 
 
 def _apart(batches: Iterator[pd.DataFrame], marks) -> Iterator[pd.DataFrame]:
-    for d in batches:
+    for d in (b.iloc[x:y] for b in batches for x, y in by_size(list(b["_value"]))):
         texts = list(d["_value"])
         lists = [TOKEN.findall(t) for t in texts]
         distinct = set().union(*lists) if lists else set()

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import WORD
+from quirework.llm.common import WORD, by_size
 
 #: Words that hold clauses together, of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset("""
@@ -232,8 +232,10 @@ def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for d in batches:
-        n, coverage, stuffing = profiles(d.pop("_text").tolist())
-        yield d.assign(n_words=n, coverage=coverage, stuffing=stuffing)
+        texts = d.pop("_text").tolist()
+        for a, b in by_size(texts):
+            n, coverage, stuffing = profiles(texts[a:b])
+            yield d.iloc[a:b].assign(n_words=n, coverage=coverage, stuffing=stuffing)
 
 
 def page_profiles(df: DataFrame, key: str, text: str) -> DataFrame:

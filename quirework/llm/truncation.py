@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import NUMBER, PAGE, bits_for, bits_of, in_bits, mix, written
+from quirework.llm.common import NUMBER, PAGE, bits_for, bits_of, by_size, in_bits, mix, written
 from quirework.llm.confusable import skeleton
 
 OMISSION = re.compile(r"(?:\s|…|\.{3,}|\[(?:…|\.{3,})\])+$")
@@ -169,7 +169,7 @@ def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _count(batches: Iterator[pd.DataFrame], marks) -> Iterator[pd.DataFrame]:
-    for d in batches:
+    for d in (b.iloc[x:y] for b in batches for x, y in by_size(list(b["_value"]))):
         lists = [TOKEN.findall(t) for t in d["_value"]]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.empty(int(counts.sum()), object)
