@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.llm import confusable, scans, stuffing, truncation
 
@@ -60,6 +61,36 @@ def test_endings_that_are_weighed(spark):
     assert got == {(1000 + k, "content") for k in range(200)}
 
 
+def test_parts_of_words_prove_no_end(spark):
+    r = random.Random(5)
+    text = lambda n: " ".join(sentence(r) for _ in range(n))
+    rows = [(k, f"{text(2)} Cells were kept in ice.") for k in range(60)]
+    rows += [(100 + k, f"{text(2)} Cells were kept in ice") for k in range(80)]
+    # the same parts of words before marks of omission, page numbers and broken lines of other texts
+    for k in range(12):
+        rows += [(2000 + k, f"{text(1)} The {NOUNS[k]} of the infil..."), (2100 + k, f"{text(1)} The {NOUNS[k]} of the in-\np. {k + 1}\nfiltration was measured.")]
+        rows += [(2200 + k, f"{text(1)} The {NOUNS[k]} of the\np. {k + 1}\nprotein was measured."), (2300 + k, f"{text(1)} The {NOUNS[k]} of the tis [...]")]
+    cut = {3000: "The membrane of the infil", 3001: "The antibody of the p", 3002: "The antibody of the tis", 3003: "The sample of the infil"}
+    rows += [(k, f"{text(1)} {t}") for k, t in cut.items()]
+    df = spark.createDataFrame(rows, "id long, content string").withColumn("feed", F.lit("mixed"))
+    want = set(cut) | {2000 + k for k in range(12)} | {2300 + k for k in range(12)}
+    assert {x.id for x in truncation.truncated(df, "id", "feed", ["content"]).collect()} == want
+
+
+def test_copies_prove_nothing(spark):
+    r = random.Random(6)
+    rows = [(k, f"{sentence(r)} Cells were kept in ice.") for k in range(60)]
+    rows += [(100 + k, f"{sentence(r)} Cells were kept in ice") for k in range(40)]
+    rows += [(200 + k, f"{sentence(r)} The {r.choice(NOUNS)} of the {r.choice(NOUNS)} improved the") for k in range(40)]
+    # what one text says of a word is no support, however often that text is there
+    rows += [(300, f"{sentence(r)} Cells were kept in the wes."), (301, f"{sentence(r)} Cells were kept in the wes"), (302, f"{sentence(r)} Nothing was said of the wes")]
+    df = spark.createDataFrame(rows, "id long, content string").withColumn("feed", F.lit("mixed"))
+    want = [*range(200, 240), 301, 302]
+    for n in (1, 20):
+        got = truncation.truncated(df.crossJoin(spark.range(n).withColumnRenamed("id", "copy")).drop("copy"), "id", "feed", ["content"])
+        assert sorted(x.id for x in got.collect()) == [k for k in want for _ in range(n)]
+
+
 def test_last_tokens_go_back_as_far_as_they_lie():
     long = " ".join(["x" * 150] * 9)
     assert truncation._last_tokens(long) == ["x" * 150] * 8
