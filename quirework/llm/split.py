@@ -165,20 +165,27 @@ def _checked(max_words: int, overlap: int) -> None:
 
 
 def _long(df: DataFrame, key: str, text: str, max_words: int) -> DataFrame:
-    """_key, _whole of the texts that can be oversized: n words need 2 n - 1 characters."""
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_whole")).where(F.length("_whole") > 2 * max_words)
+    """_key, _whole, text_hash of the texts that can be oversized: n words need 2 n - 1 characters."""
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_whole")).where(F.length("_whole") > 2 * max_words).withColumn("text_hash", F.xxhash64("_whole"))
 
 
 def _ranges_of(batches: Iterator[pd.DataFrame], range_chars: int) -> Iterator[pd.DataFrame]:
-    """The ranges of texts with their halos, one after another."""
+    """The ranges of texts with their halos; together as many as have about the characters of one range."""
     for d in batches:
+        out, held = [], 0
         for r in d.to_dict("records"):
             text = r.pop("_whole")
             count = -(-len(text) // range_chars)
             for no in range(count):
                 at = no * range_chars
                 low = max(0, at - HALO)
-                yield pd.DataFrame([r | {"_range": no, "_ranges": count, "_size": len(text), "_text": text[low : at + range_chars + HALO], "_lo": at - low, "_hi": at - low + range_chars, "_origin": low}])
+                out.append(r | {"_range": no, "_ranges": count, "_size": len(text), "_text": text[low : at + range_chars + HALO], "_lo": at - low, "_hi": at - low + range_chars, "_origin": low})
+                held += len(out[-1]["_text"])
+                if held >= range_chars:
+                    yield pd.DataFrame(out)
+                    out, held = [], 0
+        if out:
+            yield pd.DataFrame(out)
 
 
 def _ranges(giant: DataFrame, range_chars: int) -> DataFrame:
@@ -186,6 +193,15 @@ def _ranges(giant: DataFrame, range_chars: int) -> DataFrame:
     return giant.mapInPandas(lambda it: _ranges_of(it, range_chars), f"{own}, _range int, _ranges int, _size bigint, _text string, _lo bigint, _hi bigint, _origin bigint")
 
 
+def _offsets(texts: DataFrame, max_words: int, overlap: int, range_chars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """texts: _key, text_hash, _whole. Gives their ranges, written; _key, text_hash, _row of each text, of rows with the same
+    key and text one; and the pieces of the oversized ones without their texts (see _pieces)."""
+    ranges = written(_ranges(texts.withColumn("_row", F.monotonically_increasing_id()), range_chars), "ranges")
+    rows = ranges.where("_range = 0").groupBy("_key", "text_hash").agg(F.min("_row").alias("_row"))
+    ranges = ranges.join(rows.select("_row"), "_row", "left_semi")
+    return ranges, rows, _pieces(ranges.drop("_key", "text_hash"), max_words, overlap)
+
+
 def _cut_whole(batches: Iterator[pd.DataFrame], max_words: int, overlap: int) -> Iterator[pd.DataFrame]:
     """The pieces of texts of one range."""
     for d in batches:
@@ -217,16 +233,11 @@ def split_texts(df: DataFrame, key: str, text: str, max_words: int = 1000, overl
     key. Columns of df other than key and text are not read. Texts of one range are cut where they are read.
     """
     _checked(max_words, overlap)
-    long = _long(df, key, text, max_words).withColumn("text_hash", F.xxhash64("_whole"))
+    long = _long(df, key, text, max_words)
     own = f"_key {dict(long.dtypes)['_key']}, text_hash bigint"
     piece = "piece_no bigint, start bigint, stop bigint, n_words bigint, boundary string, piece string"
     one = long.where(F.length("_whole") <= range_chars).mapInPandas(lambda it: _cut_whole(it, max_words, overlap), f"{own}, {piece}")
-    giant = long.where(F.length("_whole") > range_chars).withColumn("_row", F.monotonically_increasing_id())
-    ranges = written(_ranges(giant, range_chars), "ranges")
-    # of rows with the same key and text one is cut
-    rows = ranges.where("_range = 0").groupBy("_key", "text_hash").agg(F.min("_row").alias("_row"))
-    ranges = ranges.join(rows.select("_row"), "_row", "left_semi")
-    p = _pieces(ranges.drop("_key", "text_hash"), max_words, overlap)
+    ranges, rows, p = _offsets(long.where(F.length("_whole") > range_chars), max_words, overlap, range_chars)
     # a range's pieces meet its text once; a piece over several ranges is put together from its parts
     over = F.sequence(F.floor(F.col("start") / range_chars).cast("int"), F.floor((F.col("stop") - 1) / range_chars).cast("int"))
     held = p.select("_row", "piece_no", "start", "stop", F.explode(over).alias("_range"))
@@ -238,21 +249,12 @@ def split_texts(df: DataFrame, key: str, text: str, max_words: int = 1000, overl
     return out.withColumnRenamed("_key", key)
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for d in batches:
-        texts = zip(d["_text"], d["_lo"], d["_hi"]) if "_text" in d else ((t, 0, len(t)) for t in d["_whole"])
-        yield d[["_row", "_key"]].assign(n=[len(boundary_table(*x)[0]) for x in texts])
-
-
 def oversized(df: DataFrame, key: str, text: str, max_words: int = 1000, overlap: int = 100, range_chars: int = 1 << 20) -> DataFrame:
-    """The keys of the texts that are divided: those whose ranges' words sum up to more than max_words."""
+    """The keys of the texts that are divided: those that have a second piece, by ranges, boundary tables, prefix sums and
+    cuts as split_texts has them, whatever a text's length; only the pieces' texts are left out."""
     _checked(max_words, overlap)
-    long = _long(df, key, text, max_words).withColumn("_row", F.monotonically_increasing_id())
-    schema = f"_row bigint, _key {dict(long.dtypes)['_key']}, n bigint"
-    one = long.where(F.length("_whole") <= range_chars).mapInPandas(_counted, schema).select("_key", "n")
-    giant = _ranges(long.where(F.length("_whole") > range_chars), range_chars).mapInPandas(_counted, schema)
-    many = giant.groupBy("_row").agg(F.first("_key").alias("_key"), F.sum("n").alias("n")).select("_key", "n")
-    return one.unionByName(many).where(F.col("n") > max_words).select(F.col("_key").alias(key)).distinct()
+    _, rows, p = _offsets(_long(df, key, text, max_words), max_words, overlap, range_chars)
+    return p.where("piece_no = 1").join(rows, "_row").select(F.col("_key").alias(key)).distinct()
 
 
 def split_files(spark: SparkSession, paths: list[str], max_words: int = 1000, overlap: int = 100, range_bytes: int = 8 << 20) -> DataFrame:

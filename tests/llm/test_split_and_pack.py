@@ -61,6 +61,22 @@ def test_split_edges(spark):
         split.split_texts(df, "id", "t", 100, 50)
 
 
+@pytest.mark.parametrize("range_chars", [1 << 20, 2500])
+def test_oversized_texts_are_those_with_pieces(spark, monkeypatch, range_chars):
+    made, pieces = [], split._pieces
+    monkeypatch.setattr(split, "_pieces", lambda *x: made.append(pieces(*x)) or made[-1])
+    rows = [(1, text_of(1001)), (2, text_of(1000)), (3, text_of(9000)), (3, text_of(9000)), (4, "x" * 6000), (None, text_of(1500)), (5, text_of(999) + " z" + " " * 9000), (5, " " * 9000)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = [r.id for r in split.oversized(df, "id", "t", range_chars=range_chars).collect()]
+    # every text that can be oversized goes the whole way: ranges, boundary tables, prefix sums, numbered pieces
+    assert sorted(map(str, got)) == ["1", "3", "None"] and len(made) == 1
+    p = made[0].collect()
+    assert len({r["_row"] for r in p}) == 3 and all(r.n_words <= 1000 for r in p)
+    made.clear()
+    by = Counter(r.id for r in split.split_texts(df, "id", "t", range_chars=range_chars).collect())
+    assert set(by) == set(got) and sum(by.values()) == len(p)
+
+
 def test_long_words_over_ranges(spark):
     text = " ".join(["x" * 5000] * 3 + ["w"] * 2000)
     p = sorted(split.split_texts(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t", 1000, 100, 4000).collect(), key=lambda r: r.piece_no)
